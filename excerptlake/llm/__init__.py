@@ -12,9 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import bpe
+    from . import bpe, secrets, simhash
 
-    return {"op3_bpe": bpe.op3}
+    return {
+        "op1_secrets": secrets.op1,
+        "op3_bpe": bpe.op3,
+        "op6_simhash": simhash.op6,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
