@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import configure, map_arrow, table, text_or_empty
+from .common import configure, extended, map_arrow, table, text_or_empty
 
 #: The pre-tokenizer's pattern (fixed value of the vocabulary's format), with white space spelt out.
 PIECES = (
@@ -219,7 +219,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Adds ids (array of int) and decoded (string) for the text column; other columns stay."""
     rest = [f for f in docs.schema.fields if f.name not in ("ids", "decoded")]
     kept = docs.select(*[F.col(f"`{f.name}`") for f in rest])
-    schema = kept.schema.add("ids", "array<int>").add("decoded", "string")
+    schema = extended(kept, ids="array<int>", decoded="string")
 
     def make():
         bpe = load(path)

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of one Arrow batch handed to Python. Documents are a few kB, so a batch stays near 1-4 MB
 #: and a worker's memory is bounded by a batch plus its caches, whatever the table's size.
@@ -58,8 +59,7 @@ def cut(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
 def map_arrow(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]]],
-    schema: str,
-    barrier: bool = False,
+    schema: str | T.StructType,
 ) -> DataFrame:
     """mapInArrow with per-worker set-up: make() runs once a task and returns the batch function."""
 
@@ -76,6 +76,12 @@ def map_arrow(
     return df.mapInArrow(run, schema)
 
 
+def extended(df: DataFrame, **types: str) -> T.StructType:
+    """df's schema with further columns (name=type)."""
+    more = [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in types.items()]
+    return T.StructType([*df.schema.fields, *more])
+
+
 def input_bytes(df: DataFrame) -> int:
     """Size of the scanned input as the optimizer estimates it (file sizes for a plain scan)."""
     plan = df._jdf.queryExecution().optimizedPlan()
