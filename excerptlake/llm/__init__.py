@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import bpe, secrets, simhash, toxicity
+    from . import bpe, decontam, lines, secrets, simhash, toxicity
 
     return {
         "op1_secrets": secrets.op1,
         "op3_bpe": bpe.op3,
         "op4_toxicity": toxicity.op4,
         "op6_simhash": simhash.op6,
+        "op8_line_dedup": lines.op8,
+        "op9_decontamination": decontam.op9,
     }
 
 
