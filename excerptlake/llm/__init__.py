@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import bpe, decontam, lines, secrets, simhash, toxicity
+    from . import bpe, decontam, lines, merkle, repair, secrets, simhash, toxicity
 
     return {
         "op1_secrets": secrets.op1,
+        "op2_token_files": repair.op2,
         "op3_bpe": bpe.op3,
         "op4_toxicity": toxicity.op4,
+        "op5_merkle": merkle.op5,
         "op6_simhash": simhash.op6,
         "op8_line_dedup": lines.op8,
         "op9_decontamination": decontam.op9,

@@ -85,7 +85,7 @@ def extended(df: DataFrame, **types: str) -> T.StructType:
 def input_bytes(df: DataFrame) -> int:
     """Size of the scanned input as the optimizer estimates it (file sizes for a plain scan)."""
     plan = df._jdf.queryExecution().optimizedPlan()
-    return int(plan.stats().sizeInBytes().longValue())
+    return int(str(plan.stats().sizeInBytes()))
 
 
 def input_file_bytes(spark: SparkSession, sf_dir: str, name: str) -> int:
