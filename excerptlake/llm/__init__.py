@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import bpe, decontam, lines, merkle, repair, secrets, simhash, toxicity
+    from . import bpe, decontam, lines, merkle, quotes, repair, secrets, simhash, toxicity
 
     return {
         "op1_secrets": secrets.op1,
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": toxicity.op4,
         "op5_merkle": merkle.op5,
         "op6_simhash": simhash.op6,
+        "op7_quotation_links": quotes.op7,
         "op8_line_dedup": lines.op8,
         "op9_decontamination": decontam.op9,
     }
