@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import bpe, decontam, lines, merkle, quotes, repair, secrets, simhash, toxicity
+    from . import bpe, decontam, lines, merkle, quotes, repair, secrets, simhash, suffixes, toxicity
 
     return {
         "op1_secrets": secrets.op1,
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quotation_links": quotes.op7,
         "op8_line_dedup": lines.op8,
         "op9_decontamination": decontam.op9,
+        "op10_suffix_dedup": suffixes.op10,
     }
 
 

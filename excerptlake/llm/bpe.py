@@ -246,8 +246,8 @@ def join_bytes(bpe: ByteBpe, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]
     return [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text, without moving ids through Spark."""
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text and, if wanted, its ids."""
 
     def make():
         bpe = load(path)
@@ -258,20 +258,21 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             lists = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), names.take(pa.array(ids, pa.int32())))
             listed = pc.binary_join(lists, pa.scalar(",", pa.large_string()))
             decoded = (b.decode("utf-8", "replace").encode() for b in join_bytes(bpe, ids, bounds))
-            return pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(np.diff(bounds), pa.int64()),
-                    pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in listed], pa.string()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = {
+                "doc_id": batch.column(0),
+                "n_tokens": pa.array(np.diff(bounds), pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in listed], pa.string()),
+                "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
+            }
+            if with_ids:
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+            return pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
         return step
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return map_arrow(rows, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_arrow(rows, make, schema)
 
 
 def vocabulary(name: str) -> str:

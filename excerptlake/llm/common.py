@@ -83,13 +83,14 @@ def extended(df: DataFrame, **types: str) -> T.StructType:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Size of the scanned input as the optimizer estimates it (file sizes for a plain scan)."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    return int(str(plan.stats().sizeInBytes()))
+    """Size of the scanned input as the optimizer estimates it (file sizes for a plain scan).
 
-
-def input_file_bytes(spark: SparkSession, sf_dir: str, name: str) -> int:
-    return input_bytes(table(spark, sf_dir, name))
+    Rows that come from no file have no known size; they count as 16 MB a shuffle partition.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) << 24
+    return size
 
 
 def text_or_empty(column: str = "text"):

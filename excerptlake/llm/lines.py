@@ -9,7 +9,8 @@ go, after their bytes were compared with the first one's.
 
 Plan: (key, place) rows without text find the repeated keys by a pre-aggregated minimum; only then
 text moves, for chunks joined to a repeated key; the removed places go back to the documents by
-doc_id. Every join has one row per key on one side, so hot keys can be split by skew handling.
+doc_id. Every join has one row per key on one side, so hot keys can be split by skew handling; they
+are sort-merge joins by hint, as what they join to grows with the input and is never broadcast.
 
 Defined cases: null text stays null; a text without repeated chunks stays as it is, a text whose
 chunks all go is the empty text (the row stays); rows with equal doc_id count as one document, so
@@ -96,11 +97,11 @@ def repeated_places(docs: DataFrame, folder: str) -> DataFrame:
     at = F.struct("doc_id", "place")
     firsts = chunks(docs, False).groupBy("k1", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n"))
     firsts = cut(firsts.filter("n > 1").drop("n"), f"{folder}/firsts")
-    found = cut(chunks(docs, True).join(firsts, ["k1", "k2"]), f"{folder}/found")
+    found = cut(chunks(docs, True).join(firsts.hint("merge"), ["k1", "k2"]), f"{folder}/found")
     own = F.col("first").eqNullSafe(at)
     # a key's first chunk, once; repeated rows of one document carry the same bytes
     kept = found.filter(own).groupBy("k1", "k2").agg(F.min("chunk").alias("first_chunk"))
-    later = found.filter(~own).join(kept, ["k1", "k2"]).filter(F.col("chunk") == F.col("first_chunk"))
+    later = found.filter(~own).join(kept.hint("merge"), ["k1", "k2"]).filter(F.col("chunk") == F.col("first_chunk"))
     marks = later.groupBy(F.col("doc_id").alias("did")).agg(F.collect_set("place").alias("places"))
     return cut(marks, f"{folder}/marks")
 
@@ -114,7 +115,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     inner = [F.col(f"`{name}`") for name in rest]
     base = docs.select(F.struct(*inner).alias("row"), F.col("doc_id").cast("long").alias("did"), F.col("text").cast("string").alias("text"))
     marks = marks.withColumnRenamed("did", "mark_id")
-    joined = base.join(marks, F.col("did").eqNullSafe(F.col("mark_id")), "left").select("row", "text", "places")
+    joined = base.join(marks.hint("merge"), F.col("did").eqNullSafe(F.col("mark_id")), "left").select("row", "text", "places")
 
     def make():
         def step(batch):
