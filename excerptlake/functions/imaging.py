@@ -11,6 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HASH_SIDE, FACTOR, LOBES = 8, 4, 3.0
 LUMA = np.array([0.299, 0.587, 0.114])
@@ -84,7 +85,13 @@ def fingerprint_frame(image: np.ndarray, blank_threshold: float = 4.0) -> tuple[
     return False, perceptual_hash(safe), perceptual_hash(centre(safe)), perceptual_hash(safe[:, ::-1]), color_signature(safe)
 
 
-@F.pandas_udf("blank boolean, phash string, phash_cropped string, phash_flipped string, color_sig string")
+_FRAME = T.StructType(
+    [T.StructField("blank", T.BooleanType())]
+    + [T.StructField(n, T.StringType()) for n in ("phash", "phash_cropped", "phash_flipped", "color_sig")]
+)
+
+
+@F.pandas_udf(_FRAME)
 def fingerprint_frames(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
     """RGB bytes of frames to their fingerprints, a batch at a time."""
     rows = [

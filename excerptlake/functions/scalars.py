@@ -141,7 +141,9 @@ def clamp_workers(target: Column, current: int, most: int) -> Column:
 
 def failure_summary(stage: Column, output: Column, fallback: Column, log_name: str = "subprocess.log") -> Column:
     """The last line of output that isn't blank, at most 200 characters of it."""
-    lines = F.filter(F.transform(F.split(F.coalesce(output, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(
+        F.transform(F.split(F.coalesce(output, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != ""
+    )
     last = F.coalesce(F.try_element_at(lines, F.lit(-1)), fallback)
     return F.concat(stage, F.lit(" failed: "), F.substring(last, 1, 200), F.lit(f" (see {log_name} for full output)"))
 

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..config import MatchConfig
 from ..functions.scalars import parse_color_sig, parse_hash
 
-_BY_VIDEO = Window.partitionBy("video_id").orderBy("scene_index")
+
+def _by_video():
+    return Window.partitionBy("video_id").orderBy("scene_index")
 
 
 def with_durations(scenes: DataFrame) -> DataFrame:
     """scene_duration: seconds to the next stored scene of the video, null for its last."""
-    return scenes.withColumn("scene_duration", F.lead("timestamp_sec").over(_BY_VIDEO) - F.col("timestamp_sec"))
+    return scenes.withColumn("scene_duration", F.lead("timestamp_sec").over(_by_video()) - F.col("timestamp_sec"))
 
 
 def long_enough(scenes: DataFrame, min_duration: float) -> DataFrame:
@@ -32,10 +34,10 @@ def load_scenes(scenes: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFram
     sig = F.when(F.length("color_sig") > 0, F.length("color_sig"))
     kept = kept.withColumns(
         {
-            "pos": F.row_number().over(_BY_VIDEO) - 1,
+            "pos": F.row_number().over(_by_video()) - 1,
             "n_kept": F.count("*").over(whole),
             "sig_len": F.first(sig, ignorenulls=True).over(
-                _BY_VIDEO.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+                _by_video().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
             ),
         }
     )
