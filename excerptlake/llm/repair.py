@@ -1,7 +1,7 @@
 """Token-ID files: Re-Pair grammar compression per shard, with random access.
 
 Texts are encoded by the tokenizers library. Its normaliser and splitter never join text over ASCII
-white space, nor letters with other signs but apostrophes, so chunks between these are encoded one
+white space, nor letters with plain signs but apostrophes, so chunks between these are encoded one
 by one: equal chunks of a batch once, chunks that the worker's bounded cache knows not at all.
 
 A shard is a run of whole documents in ascending doc_id order. Re-Pair counts adjacent id pairs,
@@ -45,7 +45,9 @@ SLOT_BITS = 18
 CACHE = 500_000
 #: Letters for which lower-casing is one code point's affair and composed form is the only form.
 SIMPLE = regex.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff\u00c0-\u00d6\u00d8-\u00de]+")
-SIGNS = r"([^\pL\pN\s']+)"
+SIGNS = r"([!-&(-/:-@\[-`{-~]+)"
+#: Apostrophes begin pieces of their own, and other signs may compose with letters or join a run.
+KEEP_WHOLE = r"'|[^\x00-\x7f\pL\pN]"
 
 
 # --- encoding --------------------------------------------------------------------------------
@@ -88,9 +90,9 @@ class WordEncoder:
         for mark in self.marks:  # the library finds these before it normalises or splits
             special |= pc.match_substring(lowered, mark).to_numpy(zero_copy_only=False)
         lowered = pc.if_else(pa.array(special), "", lowered)
-        # without apostrophes, a run of other signs is a piece of its own
+        # where only plain ASCII signs stand beside letters and digits, a run of them is a piece
         apart = pc.replace_substring_regex(lowered, SIGNS, " \\1 ")
-        lowered = pc.if_else(pc.match_substring(lowered, "'"), lowered, apart)
+        lowered = pc.if_else(pc.match_substring_regex(lowered, KEEP_WHOLE), lowered, apart)
         split = pc.ascii_split_whitespace(lowered)
         starts = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
