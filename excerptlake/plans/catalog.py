@@ -93,7 +93,11 @@ STEPS = {
     "variants": """SELECT k.*, v, CASE v WHEN 0 THEN h0 WHEN 1 THEN h1 ELSE h2 END AS h, duration_sec
         FROM kept k JOIN known ON k.video_id = known.id, (VALUES (0), (1), (2)) AS t(v)""",
     "hashes": "SELECT DISTINCT h FROM variants",
-    "near": "SELECT a.h AS ph, b.h AS ch, bit_count(xor(a.h, b.h))::INT AS distance FROM hashes a JOIN hashes b ON bit_count(xor(a.h, b.h)) <= 8",
+    # hashes within 8 bits agree in one of 9 bands
+    "bands": """SELECT h, k, CASE WHEN k < 8 THEN (h >> (7 * k)) & 127::UBIGINT ELSE h >> 56 END AS part
+        FROM hashes, (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8)) AS t(k)""",
+    "near": """SELECT DISTINCT a.h AS ph, b.h AS ch, bit_count(xor(a.h, b.h))::INT AS distance
+        FROM bands a JOIN bands b ON a.k = b.k AND a.part = b.part AND bit_count(xor(a.h, b.h)) <= 8""",
     "best": f"""SELECT preview_id, candidate_id, p_pos, n_kept, preview_ts, p_duration, p_color, b.distance, b.c_pos, b.pv, b.cv,
         b.candidate_ts, b.c_duration, b.c_color FROM (SELECT p.video_id AS preview_id, c.video_id AS candidate_id, p.pos AS p_pos,
         any_value(p.n_kept) AS n_kept, any_value(p.timestamp_sec) AS preview_ts, any_value(p.scene_duration) AS p_duration,
