@@ -13,6 +13,7 @@ from ..functions import scalars as S
 from ..operators import inventory, matching, mutations, review, scans, scenes
 from ..operators.hamming import hamming_join
 from ..sources import probes
+from ..session import ship
 from .fixtures import NOW, ROOTS, STAGE_DIR, VIEWS, Fixtures
 
 _QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {}
@@ -49,7 +50,7 @@ def with_views(sql: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(Fixtures(spark, sf_dir))) for name, f in _QUERIES.items()}
+    return {name: (lambda spark, sf_dir, f=f: f(Fixtures(ship(spark), sf_dir))) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
