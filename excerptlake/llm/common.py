@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 #: Rows of one Arrow batch handed to Python. Documents are a few kB, so a batch stays near 1-4 MB
 #: and a worker's memory is bounded by a batch plus its caches, whatever the table's size.
 ROWS_PER_BATCH = 1000
@@ -20,17 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Session settings the operators rely on; all may be changed at run time.
-
-    Shuffle files of a finished SQL execution are removed at its end, so a job that cuts its
-    lineage through written tables holds one stage's shuffle on disk, not the sum of them.
-    """
+    """Session settings the operators rely on; all may be changed at run time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    return spark
+    return ship(spark)
 
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share."""
+    ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = "/tmp/excerptlake-checkpoints"  # local mode only: nothing is configured
@@ -38,7 +37,11 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
-    """Write df to path in the shared folder and read it back: lineage ends there."""
+    """Write df to path in the shared folder and read it back: lineage ends there.
+
+    The shuffle files of this execution are removed at its end, so an operator that works in
+    several such steps holds one step's shuffle on disk, not the sum of them.
+    """
     spark = df.sparkSession
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
@@ -73,6 +76,7 @@ def map_arrow(
                 else:
                     yield from out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
