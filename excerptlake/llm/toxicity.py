@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from .common import configure, cut, extended, map_arrow, table, text_or_empty, work_folder
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_TERMS = 2500, 5000, 1000
-MIN_DOCS, MIN_PRECISION = 4, 0.97
+#: A term stands in MIN_DOCS toxic documents and MIN_RATE of them at least; rarer words are chance.
+MIN_DOCS, MIN_RATE, MIN_PRECISION = 4, 0.005, 0.97
 THRESHOLD = 0.3
 WINDOW = 6
 SPLIT = r"[^\pL\pN@$*]+"
@@ -236,7 +237,7 @@ def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) ->
     good = {}
     for item, n, t in counts:
         rate, other = t / max(1, toxic), (n - t) / max(1, clean)
-        if t >= MIN_DOCS and rate / (rate + other) >= MIN_PRECISION:
+        if t >= MIN_DOCS and rate >= MIN_RATE and rate / (rate + other) >= MIN_PRECISION:
             good[item] = (math.log((t + 0.5) / (toxic + 1)) - math.log((n - t + 0.5) / (clean + 1)), t)
     terms: list[Term] = []
     stems: set[str] = set()
