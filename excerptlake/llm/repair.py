@@ -11,8 +11,8 @@ would compete with a chosen one; within a run of equal symbols, pairs count from
 Rules and the expansion length of each symbol are stored, so any range of ids is decoded by
 expanding only the symbols that reach into it.
 
-File format: Parquet files in the shared folder, a row per shard: shard order (part, seq), doc_ids
-and their token counts, the rules as pairs, the symbol lengths and the symbol sequence, as
+File format: Parquet files in the shared folder, a row per shard: shard order (part, seq), its first
+id's place within the part and its number of ids, doc_ids and their token counts, the rules as pairs, the symbol lengths and the symbol sequence, as
 little-endian unsigned 32-bit integers. Parquet's writer commits whole files only, so a lost
 executor leaves no half shard, and any store Spark knows can hold them.
 
@@ -32,7 +32,6 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bpe import byte_symbols, gather, vocabulary
 from .common import configure, cut, input_bytes, map_arrow, table, text_or_empty, work_folder
@@ -242,7 +241,7 @@ def compress(ids: np.ndarray, base: int) -> Grammar:
 
 # --- shard files -----------------------------------------------------------------------------
 
-FILE = "part int, seq int, base int, doc_ids binary, nulls binary, counts binary, rules binary, lengths binary, sequence binary"
+FILE = "part int, seq int, first long, n_ids long, base int, doc_ids binary, nulls binary, counts binary, rules binary, lengths binary, sequence binary"
 
 
 def _u32(values: np.ndarray) -> bytes:
@@ -267,23 +266,23 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END) ->
     def run(batches):
         encoder = WordEncoder(path)
         base = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
-        part, seq, pending, doc_ids, counts = 0, 0, [], [], []
+        part, seq, first, pending, doc_ids, counts = 0, 0, 0, [], [], []
 
         def shard():
-            nonlocal seq
+            nonlocal seq, first
             grammar = compress(np.concatenate(pending), base)
             row = {
-                "part": part, "seq": seq, "base": base,
+                "part": part, "seq": seq, "first": first, "n_ids": sum(counts), "base": base,
                 "doc_ids": np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(),
                 "nulls": bytes(d is None for d in doc_ids),
                 "counts": _u32(np.array(counts, np.int64)), "rules": _u32(grammar.rules),
                 "lengths": _u32(grammar.lengths), "sequence": _u32(grammar.sequence),
             }
-            seq += 1
+            seq, first = seq + 1, first + row["n_ids"]
             pending.clear(), doc_ids.clear(), counts.clear()
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        kinds = {"int": pa.int32(), "binary": pa.binary()}
+        kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
         schema = pa.schema([(n, kinds[k]) for n, k in (x.split(" ") for x in FILE.split(", "))])
         held = 0
         for batch in batches:
@@ -307,32 +306,14 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END) ->
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """doc_id, start (over all shards), n_tokens, ids_crc32, decoded from the files."""
-    totals = map_arrow(
-        shards.select("part", "seq", "counts"),
-        lambda: lambda b: pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array([int(np.frombuffer(x, "<u4").sum(dtype=np.int64)) for x in b.column(2).to_pylist()], pa.int64())],
-            names=["part", "seq", "n"],
-        ),
-        "part int, seq int, n long",
-    )
     # a row per part reaches the driver, not per document: parts are PART_BYTES of input each
-    sizes = totals.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
-    base, at = {}, 0
+    sizes = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
+    starts, at = [], 0
     for r in sizes:
-        base[r.part] = at
+        starts.append((r.part, at))
         at += r.n
-    spark = shards.sparkSession
-    within = T.StructType([T.StructField("p", T.IntegerType()), T.StructField("part_start", T.LongType())])
-    starts = spark.createDataFrame([(p, n) for p, n in base.items()], within)
-    # shards of one part: at most its own texts' worth of rows
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("part", "seq", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("inner"))
-    offsets = offsets.join(F.broadcast(starts), F.col("part") == F.col("p")).select(
-        "part", "seq", (F.col("inner") + F.col("part_start")).alias("first")
-    )
-    joined = shards.join(offsets, ["part", "seq"])
+    offsets = F.broadcast(shards.sparkSession.createDataFrame(starts, "p int, part_start long"))
+    joined = shards.join(offsets, F.col("part") == F.col("p")).withColumn("first", F.col("first") + F.col("part_start"))
 
     def run(batches):
         for batch in batches:
