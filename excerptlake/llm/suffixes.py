@@ -37,9 +37,10 @@ from pyspark.sql import functions as F
 from .common import configure, cut, input_bytes, map_arrow, table, text_or_empty, work_folder
 
 LENGTH, K = 50, 24
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 2 << 20
 #: Bytes of text a map task gathers before it deals their entries to buckets; entries of a batch.
-UNIT_BYTES, BATCH = 16 << 20, 1 << 16
+UNIT_BYTES, BATCH = 8 << 20, 1 << 16
+BUCKETS_A_TASK = 4
 BLOCK = 1 << 22  # strings of one document looked at together
 NULL_ID = -(1 << 63)
 _INDEX = np.uint64((1 << 24) - 1)
@@ -316,7 +317,8 @@ def scan_buckets(blobs: DataFrame, buckets: int) -> DataFrame:
                 names=["doc_id", "rid", "first", "size", "whole"],
             )
 
-    dealt = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    tasks = -(-buckets // BUCKETS_A_TASK)  # a task works through its buckets one after another
+    dealt = blobs.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, RANGES)
 
 
@@ -338,6 +340,8 @@ def own_ranges(found: DataFrame, distinct: bool) -> DataFrame:
 
 def find_repeats(docs: DataFrame, folder: str) -> tuple[DataFrame, bool]:
     """doc_id, rid, first, size of the runs of strings to remove; whether rids are in use."""
+    # rows of packed entries are large, so batches to Python are bounded by bytes
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     size = input_bytes(docs)
     buckets = max(1, -(-size // BUCKET_BYTES))
     distinct = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
