@@ -3,18 +3,20 @@
 Lines are hashed; a rolling hash over the last WINDOW line hashes ends a chunk after a line where
 it is 0 modulo DIVISOR, once the chunk has MIN_LINES lines (MAX_LINES end it anyway; a shorter rest
 joins the last chunk). Boundaries follow content, so a passage shifted within another text falls
-into the same chunks again. Chunks of several lines, or of one line with MIN_WORDS words, are
-candidates; of each that occurs again anywhere, the first by (doc_id, place) stays and the others
-go, after their bytes were compared with the first one's.
-
-Plan: (key, place) rows without text find the repeated keys by a pre-aggregated minimum; only then
-text moves, for chunks joined to a repeated key; the removed places go back to the documents by
-doc_id. Every join has one row per key on one side, so hot keys can be split by skew handling; they
-are sort-merge joins by hint, as what they join to grows with the input and is never broadcast.
-
-Defined cases: null text stays null; a text without repeated chunks stays as it is, a text whose
-chunks all go is the empty text (the row stays); rows with equal doc_id count as one document, so
-their copies of a chunk are all first; null doc_id sorts before all others; other columns stay,
+into the same chunks again. Chunks of several lines are candidates, and beside them every line of
+MIN_WORDS words or more, whatever chunk it lies in. Of each that occurs again anywhere, the first by
+(doc_id, place) stays and the others go, after their bytes were compared with the first one's. An
+occurrence that overlaps the first one within a document is part of it and stays.
+
+Plan: (key, place) rows without text find the repeated keys by a pre-aggregated minimum; repeated
+spans at the same distance from their first ones are joined to runs; only then text moves, once for
+each run, to be compared; the removed places go back to the documents by doc_id. Every join has one
+row per key on one side, so hot keys can be split by skew handling; they are sort-merge joins by
+hint, as what they join to grows with the input and is never broadcast.
+
+Defined cases: null text stays null; a text without repeats stays as it is, a text whose lines
+all go is the empty text (the row stays); rows with equal doc_id count as one document, so their
+copies at one place are all first; null doc_id sorts before all others; other columns stay,
 n_chars, where there is one, follows the new text; an empty table gives no rows.
 """
 
@@ -23,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import configure, cut, extended, map_arrow, table, work_folder
@@ -64,50 +66,101 @@ def candidates(text: bytes) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def chunks(docs: DataFrame, with_text: bool) -> DataFrame:
-    """doc_id, place (first line), k1 and k2 (128 bits of hash) and, if wanted, the chunk's bytes."""
+def passages(lines: list[bytes]) -> set[tuple[int, int]]:
+    """Begin and end of each line that is a passage by itself: MIN_WORDS words or more."""
+    return {(i, i + 1) for i, line in enumerate(lines) if len(line.split()) >= MIN_WORDS}
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """doc_id, place and n (first line and number of lines), k1 and k2 (128 bits of hash) of what
+    may be removed as a repeat: the candidates and the passages."""
 
     def make():
+        digest = xxhash.xxh3_128_digest
+
         def step(batch):
-            ids, places, keys, texts = [], [], [], []
+            ids, places, counts, keys = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                for a, _, chunk in candidates(text.as_buffer().to_pybytes()):
+                text = text.as_buffer().to_pybytes()
+                lines = text.split(b"\n")
+                hashes = b"".join([digest(x) for x in lines])  # a span's key hashes these, whatever its length
+                for a, b in passages(lines) | {(a, b) for a, b, _ in candidates(text)}:
                     ids.append(doc_id)
                     places.append(a)
-                    keys.append(xxhash.xxh3_128_digest(chunk))
-                    if with_text:
-                        texts.append(chunk)
+                    counts.append(b - a)
+                    keys.append(digest(hashes[16 * a : 16 * b]))
             halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
-            names = ["doc_id", "place", "k1", "k2"]
-            if with_text:
-                columns.append(pa.array(texts, pa.binary()))
-                names.append("chunk")
-            return pa.RecordBatch.from_arrays(columns, names=names)
+            columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(counts, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "n", "k1", "k2"])
 
         return step
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, place int, k1 long, k2 long" + ", chunk binary" * with_text
-    return map_arrow(rows.filter("text is not null"), make, schema)
+    return map_arrow(rows.filter("text is not null"), make, "doc_id long, place int, n int, k1 long, k2 long")
 
 
-def repeated_places(docs: DataFrame, folder: str) -> DataFrame:
-    """did, places: the first lines of the chunks to remove from each document that has any."""
+def repeated_runs(docs: DataFrame, folder: str) -> DataFrame:
+    """doc_id, place, n, first_doc, first_place: runs of lines that occur before, by their hashes.
+
+    Repeated spans that lie at the same distance from their first ones and overlap or touch are one run.
+    """
     at = F.struct("doc_id", "place")
-    firsts = chunks(docs, False).groupBy("k1", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    firsts = cut(firsts.filter("n > 1").drop("n"), f"{folder}/firsts")
-    found = cut(chunks(docs, True).join(firsts.hint("merge"), ["k1", "k2"]), f"{folder}/found")
-    own = F.col("first").eqNullSafe(at)
-    # a key's first chunk, once; repeated rows of one document carry the same bytes
-    kept = found.filter(own).groupBy("k1", "k2").agg(F.min("chunk").alias("first_chunk"))
-    later = found.filter(~own).join(kept.hint("merge"), ["k1", "k2"]).filter(F.col("chunk") == F.col("first_chunk"))
-    marks = later.groupBy(F.col("doc_id").alias("did")).agg(F.collect_set("place").alias("places"))
+    firsts = spans(docs).groupBy("k1", "k2").agg(F.min(at).alias("first"), F.count("*").alias("spans"))
+    firsts = cut(firsts.filter("spans > 1").drop("spans"), f"{folder}/firsts")
+    found = spans(docs).join(firsts.hint("merge"), ["k1", "k2"])
+    # a span that overlaps its first one within a document is part of it
+    apart = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("first.place") + F.col("n") <= F.col("place"))
+    found = found.filter(apart).select(
+        "doc_id", "place", (F.col("place") + F.col("n")).alias("end"), F.col("first.doc_id").alias("first_doc"), (F.col("place") - F.col("first.place")).alias("shift")
+    )
+    pair = Window.partitionBy("doc_id", "first_doc", "shift").orderBy("place")
+    reached = F.max("end").over(pair.rowsBetween(Window.unboundedPreceding, -1))
+    begun = found.withColumn("new", F.coalesce(F.col("place") > reached, F.lit(True)).cast("int"))
+    numbered = begun.withColumn("run", F.sum("new").over(pair.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy("doc_id", "first_doc", "shift", "run").agg(F.min("place").alias("place"), F.max("end").alias("end"))
+    runs = runs.select("doc_id", "place", (F.col("end") - F.col("place")).alias("n"), "first_doc", (F.col("place") - F.col("shift")).alias("first_place"))
+    return cut(runs, f"{folder}/runs")
+
+
+def run_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """doc_id, place, n and the bytes of each of the distinct places (doc_id, place, n)."""
+    wanted = places.groupBy(F.col("doc_id").alias("did")).agg(F.collect_set(F.struct("place", "n")).alias("places"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    joined = rows.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("did"))).select("doc_id", "text", "places")
+
+    def make():
+        def step(batch):
+            for k in range(batch.num_rows):  # a batch each: a document's runs may hold its text several times
+                lines = batch.column(1)[k].as_py().encode().split(b"\n")
+                at = [(x["place"], x["n"]) for x in batch.column(2)[k].as_py() if x["place"] + x["n"] <= len(lines)]
+                texts = [b"\n".join(lines[a : a + n]) for a, n in at]
+                columns = [pa.array([batch.column(0)[k].as_py()] * len(at), pa.int64()), *(pa.array(list(x), pa.int32()) for x in (zip(*at) if at else ([], []))), pa.array(texts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "n", "bytes"])
+
+        return step
+
+    return map_arrow(joined, make, "doc_id long, place int, n int, bytes binary")
+
+
+def repeated_places(docs: DataFrame, folder: str) -> DataFrame:
+    """did, places: first line and number of lines of the runs to remove from each document that has any."""
+    runs = repeated_runs(docs, folder)
+    first_places = runs.select(F.col("first_doc").alias("doc_id"), F.col("first_place").alias("place"), "n")
+    texts = cut(run_texts(docs, runs.select("doc_id", "place", "n").union(first_places)), f"{folder}/texts")
+    # rows of one document may differ: what stands first is the least of their bytes, once for each place
+    firsts = texts.groupBy("doc_id", "place", "n").agg(F.min("bytes").alias("first_bytes"))
+    firsts = firsts.select(F.col("doc_id").alias("d"), F.col("place").alias("p"), F.col("n").alias("m"), "first_bytes")
+    own = texts.select(F.col("doc_id").alias("o"), F.col("place").alias("q"), F.col("n").alias("l"), "bytes")
+    later = runs.join(own.hint("merge"), F.col("doc_id").eqNullSafe(F.col("o")) & (F.col("place") == F.col("q")) & (F.col("n") == F.col("l")))
+    later = later.select("doc_id", "place", "n", "first_doc", "first_place", "bytes")
+    same = later.join(firsts.hint("merge"), F.col("first_doc").eqNullSafe(F.col("d")) & (F.col("first_place") == F.col("p")) & (F.col("n") == F.col("m")))
+    same = same.filter(F.col("bytes") == F.col("first_bytes"))
+    marks = same.groupBy(F.col("doc_id").alias("did")).agg(F.collect_set(F.struct("place", "n")).alias("places"))
     return cut(marks, f"{folder}/marks")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks taken out of text, and n_lines, n_removed_lines beside it."""
+    """docs with repeated lines taken out of text, and n_lines, n_removed_lines beside it."""
     spark = docs.sparkSession
     marks = repeated_places(docs, work_folder(spark))
     taken = ("text", "n_lines", "n_removed_lines")
@@ -122,21 +175,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             texts, counts, gone = [], [], []
             for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 lines = [] if text is None else text.split("\n")
-                removed = 0
-                if places:
-                    drop = set(places)
-                    data = text.encode()
-                    raw = data.split(b"\n")
-                    keep: list[str] = []
-                    for a, b in chunk_bounds(raw):
-                        if a in drop:
-                            removed += b - a
-                        else:
-                            keep += lines[a:b]
-                    text = "\n".join(keep)
+                drop = set()
+                for x in places or ():
+                    drop.update(range(x["place"], min(x["place"] + x["n"], len(lines))))
+                if drop:
+                    text = "\n".join([line for k, line in enumerate(lines) if k not in drop])
                 texts.append(text)
                 counts.append(len(lines))
-                gone.append(removed)
+                gone.append(len(drop))
             columns = [batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())]
             return pa.RecordBatch.from_arrays(columns, names=["row", "text", "n_lines", "n_removed_lines"])
 

@@ -139,6 +139,29 @@ def test_line_dedup(docs):
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_one_line_passages(make_docs):
+    """A line of 50 words that occurred before goes, whatever stands around it; one of 49 stays."""
+    r = random.Random(12)
+    passages = [" ".join(f"p{k}w{j}" for j in range(n)) for k, n in enumerate([50, 51, 80, 300, 49])]
+    pairs = []
+    for i in range(40):
+        parts = [f"fresh {i} {j} {r.random()}" for j in range(r.randint(0, 5))]
+        for x in r.sample(passages, r.randint(0, 2)):  # never side by side
+            parts += [x, f"fresh {i} {r.random()}"]
+        if len(parts) > 1 and r.random() < 0.5:
+            parts.pop()
+        pairs.append((i, "\n".join(parts)))
+    seen, expected = set(), {}
+    for i, text in pairs:
+        keep = []
+        for line in text.split("\n"):
+            if not (len(line.split()) >= 50 and line in seen):
+                keep.append(line)
+            seen.add(line)
+        expected[i] = "\n".join(keep)
+    assert {x.doc_id: x.text for x in lines.dedup_lines(make_docs(pairs)).collect()} == expected
+
+
 def test_chunks_resist_shifts():
     r = random.Random(8)
     passage = [f"line {r.random()}".encode() for _ in range(40)]
