@@ -1,12 +1,18 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup: repeated runs of lines, and repeated content-defined chunks of lines.
 
-Lines are hashed; a rolling hash over the last WINDOW line hashes ends a chunk after a line where
-it is 0 modulo DIVISOR, once the chunk has MIN_LINES lines (MAX_LINES end it anyway; a shorter rest
-joins the last chunk). Boundaries follow content, so a passage shifted within another text falls
-into the same chunks again. Chunks of several lines are candidates, and beside them every line of
-MIN_WORDS words or more, whatever chunk it lies in. Of each that occurs again anywhere, the first by
-(doc_id, place) stays and the others go, after their bytes were compared with the first one's. An
-occurrence that overlaps the first one within a document is part of it and stays.
+Runs of MIN_WORDS words or more are found wherever they begin and end: of each line the shortest run
+of that many words from it on and up to it is a candidate. Every line of a longer run lies in such a
+candidate inside the run, so a run that occurs again anywhere goes as a whole, whatever stands
+around it; the run of the candidates that repeat is as long as the repeat is.
+
+Shorter repeats count as chunks of several lines: a rolling hash over the last WINDOW line hashes
+ends a chunk after a line where it is 0 modulo DIVISOR, once the chunk has MIN_LINES lines
+(MAX_LINES end it anyway; a shorter rest joins the last chunk). Boundaries follow content, so a
+passage shifted within another text mostly falls into the same chunks again, but not at its edges.
+
+Of each candidate the first by (doc_id, place) stays and the others go, after their bytes were
+compared with the first one's. An occurrence that overlaps the first one within a document is part
+of it and stays.
 
 Plan: (key, place) rows without text find the repeated keys by a pre-aggregated minimum; repeated
 spans at the same distance from their first ones are joined to runs; only then text moves, once for
@@ -67,8 +73,28 @@ def candidates(text: bytes) -> list[tuple[int, int, bytes]]:
 
 
 def passages(lines: list[bytes]) -> set[tuple[int, int]]:
-    """Begin and end of each line that is a passage by itself: MIN_WORDS words or more."""
-    return {(i, i + 1) for i, line in enumerate(lines) if len(line.split()) >= MIN_WORDS}
+    """Begin and end of the shortest runs with MIN_WORDS words from each line on, and up to each line.
+
+    Each line of any run of MIN_WORDS words or more lies in one of these that lies in the run: the
+    one from this line on, or else the one up to the run's end.
+    """
+    total = [0]
+    for line in lines:
+        total.append(total[-1] + len(line.split()))
+    out, end, begin = set(), 0, 0
+    for i in range(len(lines)):
+        while end < len(lines) and total[end] - total[i] < MIN_WORDS:
+            end += 1
+        if total[end] - total[i] < MIN_WORDS:
+            break
+        out.add((i, end))
+    for j in range(1, len(total)):
+        if total[j] < MIN_WORDS:
+            continue
+        while total[j] - total[begin + 1] >= MIN_WORDS:
+            begin += 1
+        out.add((begin, j))
+    return out
 
 
 def spans(docs: DataFrame) -> DataFrame:

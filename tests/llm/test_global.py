@@ -162,6 +162,44 @@ def test_one_line_passages(make_docs):
     assert {x.doc_id: x.text for x in lines.dedup_lines(make_docs(pairs)).collect()} == expected
 
 
+def brute_passages(pairs):
+    """Lines within any run of 50 words or more that occurred before, not overlapping; all runs are tried."""
+    seen, out = {}, {}
+    for i, text in pairs:
+        own, gone = text.split("\n"), set()
+        runs = [(a, b) for a in range(len(own)) for b in range(a + 1, len(own) + 1)]
+        for a, b in sorted(runs, key=lambda x: x[1]):
+            run = tuple(own[a:b])
+            if len(" ".join(run).split()) >= 50:
+                doc, at = seen.setdefault(run, (i, a))
+                if doc < i or at + b - a <= a:
+                    gone |= set(range(a, b))
+        out[i] = "\n".join(x for k, x in enumerate(own) if k not in gone)
+    return out
+
+
+def test_passages(make_docs):
+    """Repeats of several lines go as a whole, without regard to chunks; the data has no shorter ones of two lines."""
+    r = random.Random(13)
+    line = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    wide = [[line(r.randint(26, 40)) for _ in range(r.randint(2, 8))] for _ in range(8)]  # any two lines are a passage
+    narrow = [[line(5) for _ in range(14)] for _ in range(4)]
+    pairs = [(0, "\n".join([line(30)] * 9))]
+    for i in range(1, 70):
+        parts = [line(r.randint(1, 20)) for _ in range(r.randint(0, 3))]
+        for _ in range(r.randint(0, 3)):
+            if r.random() < 0.6:
+                p = r.choice(wide)
+                parts += p[r.randint(0, len(p) - 2) :][: r.randint(2, 8)]
+            else:
+                parts += r.choice(narrow)[r.randint(0, 2) :][: r.randint(10, 14)]
+            parts += [line(r.randint(1, 20)) for _ in range(r.randint(1, 2))]
+        pairs.append((i, "\n".join(parts)))
+    expected = brute_passages(pairs)
+    assert sum(expected[i] != t for i, t in pairs) > 30
+    assert {x.doc_id: x.text for x in lines.dedup_lines(make_docs(pairs)).collect()} == expected
+
+
 def test_chunks_resist_shifts():
     r = random.Random(8)
     passage = [f"line {r.random()}".encode() for _ in range(40)]
