@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from excerptlake.llm import bpe, graph, lines, merkle, quotes, repair, simhash, suffixes
+import corpus_pipeline
+from excerptlake.llm import bpe, graph, lines, merkle, near, quotes, repair, simhash, suffixes
 
 from .conftest import corpus
 
@@ -93,6 +94,36 @@ def test_near_groups(docs):
     assert simhash.near_groups(docs.limit(0)).count() == 0
 
 
+def test_near_copies(spark, make_docs, tmp_path):
+    """All pairs of documents with a Jaccard similarity of 5-word shingles from 0.8 on are in one group."""
+    r = random.Random(14)
+    word = lambda: f"w{r.randrange(3000)}"
+    common = " ".join(f"c{k}" for k in range(9))
+    texts = [" ".join(word() for _ in range(r.randint(0, 120))) + " " + common for _ in range(40)] + ["", None, "one two"]
+    for _ in range(140):  # copies of copies, edited in up to six places
+        words = (r.choice(texts) or "").split()
+        for _ in range(r.randint(0, 6)):
+            at = r.randint(0, len(words))
+            words[at : at + r.randint(0, 1)] = [word()]
+        texts.append(" ".join(words))
+    pairs = list(enumerate(texts))
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} - {()}
+
+    sets = {i: shingles(t) for i, t in pairs}
+    alike = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+    linked = [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])]
+    far = [(a, b) for a, b in linked if (brute_simhash(texts[a]) ^ brute_simhash(texts[b])).bit_count() > 3]
+    assert len(far) > 20
+    df = on_disk(make_docs(pairs), tmp_path)
+    kept = {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, df, str(tmp_path)).collect()}
+    assert kept == {i for i, c in classes(sets, linked).items() if i == c}
+    assert {x.doc_id: x.component_id for x in near.near_groups(df).collect()} == classes(sets, linked)
+    assert near.near_groups(make_docs([])).count() == 0
+
+
 def test_covering_misses_no_link(spark):
     r = random.Random(4)
     values = {0}
