@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import configure, extended, map_arrow, table, text_or_empty
+from .common import extended, map_arrow, table, text_or_empty
 
 #: The pre-tokenizer's pattern (fixed value of the vocabulary's format), with white space spelt out.
 PIECES = (
@@ -282,4 +282,4 @@ def vocabulary(name: str) -> str:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(configure(spark), sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,27 +14,24 @@ from pyspark.sql import types as T
 
 from ..session import ship
 
-#: Rows of one Arrow batch handed to Python. Documents are a few kB, so a batch stays near 1-4 MB
-#: and a worker's memory is bounded by a batch plus its caches, whatever the table's size.
-ROWS_PER_BATCH = 1000
+#: Rows and bytes of what an operator's batch function is given at once (a longer row comes alone).
+#: Spark hands over batches of at most spark.sql.execution.arrow.maxBytesPerBatch and a row.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def configure(spark: SparkSession) -> SparkSession:
-    """Session settings the operators rely on; all may be changed at run time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    return ship(spark)
+    return ship(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. A local session
+    may go without the setting; on a cluster a folder of one machine would lose data."""
     ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "/tmp/excerptlake-checkpoints"  # local mode only: nothing is configured
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/excerptlake-checkpoints"
     return f"{base.rstrip('/')}/excerptlake-{uuid.uuid4().hex}"
 
 
@@ -59,6 +58,23 @@ def cut(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def batches_of(batches: Iterable[pa.RecordBatch], rows: int = ROWS_PER_BATCH, size: int = BYTES_PER_BATCH) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, none empty, in batches of at most so many rows and bytes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if batch.num_rows <= rows and batch.nbytes <= size:
+            yield batch
+            continue
+        begin = 0
+        while begin < batch.num_rows:
+            n = min(rows, batch.num_rows - begin)
+            while n > 1 and batch.slice(begin, n).nbytes > size:
+                n = (n + 1) // 2
+            yield batch.take(pa.array(np.arange(begin, begin + n)))  # a copy: kernels read offsets of slices wrong
+            begin += n
+
+
 def map_arrow(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]]],
@@ -68,13 +84,12 @@ def map_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            if batch.num_rows:
-                out = step(batch)
-                if isinstance(out, pa.RecordBatch):
-                    yield out
-                else:
-                    yield from out
+        for batch in batches_of(batches):
+            out = step(batch)
+            if isinstance(out, pa.RecordBatch):
+                yield out
+            else:
+                yield from out
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

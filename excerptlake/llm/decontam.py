@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import configure, extended, map_arrow, table
+from .common import extended, map_arrow, table
 
 Q, SEGMENT, STRIDE, EDIT_RATE = 8, 120, 60, 0.1
 MAX_BENCHMARK = 16 << 20
@@ -245,7 +245,6 @@ def describe(index: Index, raw: bytes) -> list[dict]:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_matches(docs, table(spark, sf_dir, "benchmark"))
     matches = F.coalesce("matches", F.array().cast("array<struct<item_id:long,start:long,end:long,edits:int>>"))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import configure, cut, extended, map_arrow, table, work_folder
+from .common import cut, extended, map_arrow, table, work_folder
 
 WINDOW, DIVISOR, MIN_LINES, MAX_LINES, MIN_WORDS = 2, 2, 2, 64, 50
 _MASK = (1 << 64) - 1
@@ -221,5 +221,5 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(configure(spark), sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed_lines", "text")

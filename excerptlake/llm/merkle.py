@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import configure, input_bytes, table, text_or_empty
+from .common import input_bytes, table, text_or_empty
 
 SHARD_BYTES, MAX_SHARDS, FAN = 16 << 20, 1 << 16, 256
 CLAUSE = r"(?<=[\n.!?,;:|])|(?<=[es] )"
@@ -138,4 +138,4 @@ def edit_fingerprints(docs: DataFrame, shards: int | None = None) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_fingerprints(table(configure(spark), sf_dir, "documents").select("doc_id", "text"))
+    return edit_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))

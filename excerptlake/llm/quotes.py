@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import configure, cut, map_arrow, table, text_or_empty, work_folder
+from .common import cut, map_arrow, table, text_or_empty, work_folder
 
 BLOCK = 256
 QUOTE = regex.compile(r"(?:[ \t]{0,3}>)+")
@@ -168,4 +168,4 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_quotes(table(configure(spark), sf_dir, "conversations"))
+    return link_quotes(table(spark, sf_dir, "conversations"))

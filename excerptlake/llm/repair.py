@@ -1,52 +1,61 @@
 """Token-ID files: Re-Pair grammar compression per shard, with random access.
 
 Texts are encoded by the tokenizers library. Its normaliser and splitter never join text over ASCII
-white space, nor letters with plain signs but apostrophes, so chunks between these are encoded one
-by one: equal chunks of a batch once, chunks that the worker's bounded cache knows not at all.
+white space, so the chunks between are encoded one by one, equal ones of a batch once. A chunk of
+printable ASCII and Latin-1 letters is cut into the splitter's pieces here, and the library's model
+merges those that the worker's bounded cache doesn't know; any other chunk (with a control sign, a
+mark, another script, a special token) goes through the whole library.
 
 A shard is a run of whole documents in ascending doc_id order. Re-Pair counts adjacent id pairs,
 gives the most frequent ones new symbols and replaces them, round after round, until no pair is
 frequent enough. A round takes many pairs at once, the frequent first, and none whose symbols
 would compete with a chosen one; within a run of equal symbols, pairs count from the left.
 Rules and the expansion length of each symbol are stored, so any range of ids is decoded by
-expanding only the symbols that reach into it.
+expanding only the symbols that reach into it (read_documents).
 
 File format: Parquet files in the shared folder, a row per shard: shard order (part, seq), its first
-id's place within the part and its number of ids, doc_ids and their token counts, the rules as pairs, the symbol lengths and the symbol sequence, as
-little-endian unsigned 32-bit integers. Parquet's writer commits whole files only, so a lost
-executor leaves no half shard, and any store Spark knows can hold them.
+id's place within the part and its number of ids, doc_ids and their token counts, the rules as pairs,
+the symbol lengths and the symbol sequence, as little-endian unsigned 32-bit integers. Parquet's writer commits whole files only, so
+a lost executor leaves no half shard, and any store Spark knows can hold them.
 
 Defined cases: null text is empty and holds the end id alone; null doc_id sorts first; rows with
-equal doc_id stay apart, ordered by text; extra columns are ignored; an empty table gives no rows.
+equal doc_id stay apart, ordered by a hash of their text; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols, gather, vocabulary
-from .common import configure, cut, input_bytes, map_arrow, table, text_or_empty, work_folder
+from .common import batches_of, cut, input_bytes, table, text_or_empty, work_folder
 
 END = 1
 #: Ids of a shard (a longer document is a shard of its own) and bytes of text dealt to a part.
 SHARD_IDS, PART_BYTES = 1 << 19, 16 << 20
-MIN_COUNT, ROUNDS, PAIRS_A_ROUND = 24, 8, 4096
+#: Parts whose offsets the driver adds up and broadcasts; beyond 1 TB parts grow instead.
+MAX_PARTS = 1 << 16
+#: A pair is frequent from MIN_COUNT occurrences in its shard on; a round looks at the most frequent pairs.
+MIN_COUNT, PAIRS_A_ROUND = 24, 4096
 SLOT_BITS = 18
-CACHE = 500_000
-#: Letters for which lower-casing is one code point's affair and composed form is the only form.
-SIMPLE = regex.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff\u00c0-\u00d6\u00d8-\u00de]+")
-SIGNS = r"([!-&(-/:-@\[-`{-~]+)"
-#: Apostrophes begin pieces of their own, and other signs may compose with letters or join a run.
-KEEP_WHOLE = r"'|[^\x00-\x7f\pL\pN]"
+#: Pieces a worker's cache holds (some 200 bytes each) before it starts anew.
+CACHE = 400_000
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+#: Chunks of these have no other composed form, and lower-casing gives one letter for each.
+PLAIN = "^[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+#: In lower-cased plain chunks without apostrophe these are pieces, and so is what stands between them.
+SIGNS = r"([0-9]|[!-&(-/:-@\[-`{-~]+)"
+#: The pre-tokenizer's pattern (fixed value of the vocabulary's format) over lower-cased plain chunks.
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
 # --- encoding --------------------------------------------------------------------------------
@@ -65,60 +74,83 @@ class WordEncoder:
         self.merge = self.tokenizer.model.tokenize
         self.marks = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.symbols = str.maketrans({chr(b): c for b, c in byte_symbols().items()})
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-
-    def _library(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _encode(self, chunk: str) -> tuple[int, ...]:
-        """A chunk of Latin letters is one piece, which the library's model merges without its
-        normaliser and splitter; any other chunk goes through the whole library."""
-        if SIMPLE.fullmatch(chunk):
-            piece = chunk.lower()
-            if not piece.isascii():
-                piece = piece.encode().decode("latin-1").translate(self.symbols)
-            return tuple([t.id for t in self.merge(piece)])
-        return tuple(self._library(chunk))
+        self._clear()
+
+    def _clear(self) -> None:
+        """An empty cache: the number of each piece, and the ids of the pieces one after another."""
+        self.known: dict[str, int] = {}
+        self.ends = np.zeros(1, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _piece(self, piece: str) -> list[int]:
+        """Ids of a lower-cased plain piece: the library's model alone merges it."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.symbols)
+        return [t.id for t in self.merge(piece)]
+
+    def _encode(self, key: str, kind: int) -> list[int]:
+        """Ids of a piece (kind 0), of a plain chunk with apostrophes (1), or of any other chunk (2)."""
+        if kind == 0:
+            return self._piece(key)
+        if kind == 1:
+            return [*chain.from_iterable(map(self._piece, PIECES.findall(key.lower())))]
+        return self.tokenizer.encode(key, add_special_tokens=False).ids
+
+    def _numbers(self, keys: list[str], kind: np.ndarray | int) -> np.ndarray:
+        """The numbers of distinct keys in the cache; the unknown are encoded and entered."""
+        numbers = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            kinds = np.broadcast_to(kind, len(keys))[new].tolist()
+            found = [self._encode(keys[k], of) for k, of in zip(new.tolist(), kinds)]
+            numbers[new] = len(self.known) + np.arange(len(new))
+            self.known.update(zip(map(keys.__getitem__, new.tolist()), numbers[new].tolist()))
+            ends = self.ends[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+            self.ends = np.concatenate([self.ends, ends])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.uint32)])
+        return numbers
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks one after another and their offsets."""
+        plain = pc.match_substring_regex(chunks, PLAIN)
+        for mark in self.marks:  # the library finds these before it normalises or splits
+            plain = pc.and_not(plain, pc.match_substring(chunks, mark))
+        simple = pc.and_not(plain, pc.match_substring(chunks, "'"))
+        lowered = pc.utf8_lower(pc.filter(chunks, simple))
+        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.replace_substring_regex(lowered, SIGNS, " \\1 ")))
+        coded = split.flatten().dictionary_encode()
+        numbers = self._numbers(coded.dictionary.to_pylist(), 0)[coded.indices.to_numpy()]
+        whole = pc.filter(chunks, pc.invert(simple))
+        kinds = np.where(pc.filter(plain, pc.invert(simple)).to_numpy(zero_copy_only=False), 1, 2)
+        others = self._numbers(whole.to_pylist(), kinds)
+        # pieces of each chunk, in the chunks' order
+        mask = simple.to_numpy(zero_copy_only=False)
+        amount = np.ones(len(chunks), np.int64)
+        amount[mask] = np.diff(split.offsets.to_numpy())
+        taken = np.empty(int(amount.sum()), np.int64)
+        of_simple = np.repeat(mask, amount)
+        taken[of_simple], taken[~of_simple] = numbers, others
+        ids, ends = gather(self.pool, self.ends[taken], self.ends[taken + 1] - self.ends[taken])
+        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(amount)])]
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another and their offsets (len(texts) + 1)."""
-        texts = texts.cast(pa.large_string()).fill_null("")
-        lowered = pc.ascii_lower(texts)
-        special = np.zeros(len(texts), bool)
-        for mark in self.marks:  # the library finds these before it normalises or splits
-            special |= pc.match_substring(lowered, mark).to_numpy(zero_copy_only=False)
-        lowered = pc.if_else(pa.array(special), "", lowered)
-        # where only plain ASCII signs stand beside letters and digits, a run of them is a piece
-        apart = pc.replace_substring_regex(lowered, SIGNS, " \\1 ")
-        lowered = pc.if_else(pc.match_substring_regex(lowered, KEEP_WHOLE), lowered, apart)
-        split = pc.ascii_split_whitespace(lowered)
+        if len(self.known) >= CACHE or len(self.pool) >= 8 * CACHE:
+            self._clear()
+        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts.cast(pa.large_string()).fill_null("")))
         starts = split.offsets.to_numpy().astype(np.int64)
-        coded = split.flatten().dictionary_encode()
-        chunks, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        if len(self.young) >= CACHE:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        sequences = [*map(young.get, chunks)]
-        for k, got in enumerate(sequences):
-            if got is None:
-                c = chunks[k]
-                got = old.get(c)
-                if got is None:
-                    got = self._encode(c)
-                sequences[k] = young[c] = got
-        lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
-        pool = np.fromiter(chain.from_iterable(sequences), np.uint32, int(lengths.sum()))
-        begin = np.cumsum(lengths) - lengths
-        ids, ends = gather(pool, begin[codes], lengths[codes])
-        bounds = np.concatenate([[0], ends])[starts]
-        if not special.any():
-            return ids, bounds
-        parts = [
-            np.array(self._library(texts[i].as_py()), np.uint32) if special[i] else ids[bounds[i] : bounds[i + 1]]
-            for i in range(len(texts))
-        ]
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        flat = split.flatten()
+        coded = flat.dictionary_encode()
+        pool, bounds = self._chunks(coded.dictionary)
+        codes = coded.indices.to_numpy()
+        ids, ends = gather(pool, bounds[codes], np.diff(bounds)[codes])
+        return ids, np.concatenate([[0], ends])[starts - starts[0]]
+
+
+@lru_cache(2)
+def load_words(path: str) -> WordEncoder:
+    """A worker's encoder, whose cache serves its later tasks too."""
+    return WordEncoder(path)
 
 
 # --- Re-Pair ---------------------------------------------------------------------------------
@@ -140,23 +172,40 @@ class Grammar:
         out[made] = self.lengths[self.sequence[made].astype(np.int64) - self.base]
         return out
 
+    def groups(self) -> list[tuple[int, int]]:
+        """Runs of rules that hold no symbol of their own run, in order."""
+        newest = self.rules.max(axis=1) - self.base if len(self.rules) else np.zeros(0, np.int64)
+        out, begin = [], 0
+        while begin < len(newest):
+            own = newest[begin:] >= begin
+            end = begin + int(own.argmax()) if own.any() else len(newest)
+            out.append((begin, end))
+            begin = end
+        return out
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids that symbols stand for: each rule's expansion is made once, then gathered."""
+        """The ids that symbols stand for. Only rules that these reach are expanded, each once."""
         symbols = symbols.astype(np.int64)
-        made = symbols >= self.base
-        if not made.any():
-            return symbols.astype(np.uint32)
-        table: list[list[int]] = []
-        for a, b in self.rules.tolist():
-            left = table[a - self.base] if a >= self.base else [a]
-            table.append(left + (table[b - self.base] if b >= self.base else [b]))
-        pool = np.concatenate([np.fromiter(chain.from_iterable(table), np.int64), symbols])
-        begin = np.arange(len(symbols)) + (len(pool) - len(symbols))  # an id stands for itself
-        lengths = np.ones(len(symbols), np.int64)
-        number = symbols[made] - self.base
-        lengths[made] = self.lengths[number]
-        begin[made] = (np.cumsum(self.lengths) - self.lengths)[number]
-        return gather(pool, begin, lengths)[0].astype(np.uint32)
+        groups = self.groups()
+        needed = np.zeros(len(self.rules), bool)
+        needed[symbols[symbols >= self.base] - self.base] = True
+        for begin, end in reversed(groups):
+            children = self.rules[begin:end][needed[begin:end]].ravel()
+            needed[children[children >= self.base] - self.base] = True
+        # an id is found at its own place in the pool, an expansion where it was put
+        size = np.concatenate([np.ones(self.base, np.int64), self.lengths])
+        at = np.concatenate([np.arange(self.base), np.zeros(len(self.rules), np.int64)])
+        pool = np.empty(self.base + int(self.lengths[needed].sum()), np.uint32)
+        pool[: self.base] = np.arange(self.base)
+        used = self.base
+        for begin, end in groups:
+            made = begin + np.flatnonzero(needed[begin:end])
+            children = self.rules[made].ravel()
+            ids, ends = gather(pool, at[children], size[children])
+            at[self.base + made] = used + np.concatenate([[0], ends])[:-1:2]
+            pool[used : used + len(ids)] = ids
+            used += len(ids)
+        return gather(pool, at[symbols], size[symbols])[0]
 
     def decode(self, low: int = 0, high: int | None = None) -> np.ndarray:
         """Ids low..high of the shard; only the symbols that reach into the range are expanded."""
@@ -176,8 +225,8 @@ def chosen_pairs(left: np.ndarray, right: np.ndarray, counts: np.ndarray) -> np.
     begins: set[int] = set()
     finishes: set[int] = set()
     out = []
-    for k in np.lexsort((right, left, -counts))[:PAIRS_A_ROUND].tolist():
-        a, b = int(left[k]), int(right[k])
+    order = np.lexsort((right, left, -counts))[:PAIRS_A_ROUND]
+    for k, a, b in zip(order.tolist(), left[order].tolist(), right[order].tolist()):
         if a in finishes or b in begins or (a == b and a in begins):
             continue
         begins.add(a)
@@ -187,56 +236,60 @@ def chosen_pairs(left: np.ndarray, right: np.ndarray, counts: np.ndarray) -> np.
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
-    return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def compress(ids: np.ndarray, base: int) -> Grammar:
-    """The grammar of one shard."""
+    """The grammar of one shard: rounds go on until no pair is left that occurs MIN_COUNT times.
+
+    A pair of old symbols never becomes more frequent, so each round looks only at places whose
+    pair was frequent before or holds a symbol of the last round.
+    """
     sequence = ids.astype(np.int64)
-    rules: list[np.ndarray] = []
-    lengths: list[np.ndarray] = []
-    made = 0
+    rules: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+    size = np.ones(1, np.int64)  # of symbol base + k at k + 1; of ids at 0
+    live = np.ones(len(sequence), bool)
     table = np.zeros(1 << SLOT_BITS, np.int64)
-    for _ in range(ROUNDS):
-        if len(sequence) < 2:
-            break
-        key = sequence[:-1] << 32 | sequence[1:]
+    while True:
+        at = np.flatnonzero(live[:-1])
+        left, right = sequence[at], sequence[at + 1]
+        # only a symbol paired with itself can overlap: of a run, every second place counts
+        twice = np.flatnonzero(left == right)
+        if len(twice):
+            fresh = np.concatenate([[True], np.diff(at[twice]) != 1])
+            begin = np.maximum.accumulate(np.where(fresh, np.arange(len(twice)), 0))
+            counted = np.ones(len(at), bool)
+            counted[twice[(np.arange(len(twice)) - begin) % 2 == 1]] = False
+            at, left, right = at[counted], left[counted], right[counted]
+        key = left << 32 | right
+        slot = _slot(key)
+        often = np.bincount(slot, minlength=1 << SLOT_BITS)[slot] >= MIN_COUNT
+        live[at[~often]] = False
+        at, key, slot = at[often], key[often], slot[often]
         ordered = np.sort(key)
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
         counts = np.diff(np.append(edge, len(ordered)))
-        often = counts >= MIN_COUNT
-        pairs, counts = ordered[edge[often]], counts[often]
+        pairs, counts = ordered[edge[counts >= MIN_COUNT]], counts[counts >= MIN_COUNT]
         if not len(pairs):
             break
-        pick = chosen_pairs(pairs >> 32, pairs & 0xFFFFFFFF, counts)
-        slots = _slot(pairs[pick])
-        _, first = np.unique(slots, return_index=True)  # of two pairs with one slot, the second waits
+        pick = np.sort(chosen_pairs(pairs >> 32, pairs & 0xFFFFFFFF, counts))
+        _, first = np.unique(_slot(pairs[pick]), return_index=True)  # of two pairs with one slot, the second waits
         found = pairs[pick[np.sort(first)]]
         table[_slot(found)] = np.arange(len(found))
+        place = table[slot]
+        hit = found[np.minimum(place, len(found) - 1)] == key
+        at, place = at[hit], place[hit]
         pair_rows = np.column_stack([found >> 32, found & 0xFFFFFFFF])
-        known = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-        size = np.ones_like(pair_rows)
-        nested = pair_rows >= base
-        size[nested] = known[pair_rows[nested] - base]
-        place = table[_slot(key)]
-        at = np.flatnonzero(found[np.minimum(place, len(found) - 1)] == key)
-        # only a symbol paired with itself can overlap: of a run, every second place counts
-        run = np.concatenate([[True], np.diff(at) != 1]) if len(at) else np.zeros(0, bool)
-        begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - begin) % 2 == 0]
-        sequence[at] = base + made + place[at]
+        sequence[at] = base + len(size) - 1 + place
+        size = np.concatenate([size, size[np.maximum(pair_rows - base + 1, 0)].sum(1)])
+        rules.append(pair_rows)
+        live[at] = True
+        live[np.maximum(at - 1, 0)] = True
+        live[np.maximum(at - 2, 0)] = True  # where the place before was itself taken into a new symbol
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
-        sequence = sequence[keep]
-        rules.append(pair_rows)
-        lengths.append(size.sum(1))
-        made += len(found)
-    return Grammar(
-        base,
-        np.concatenate(rules) if rules else np.zeros((0, 2), np.int64),
-        np.concatenate(lengths) if lengths else np.zeros(0, np.int64),
-        sequence,
-    )
+        sequence, live = sequence[keep], live[keep]
+    return Grammar(base, np.concatenate(rules), size[1:], sequence)
 
 
 # --- shard files -----------------------------------------------------------------------------
@@ -257,14 +310,14 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END) ->
     """Encode docs, write the shard files below folder and give them as a DataFrame."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // PART_BYTES))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), "text"
-    )
+    wanted = min(MAX_PARTS, -(-input_bytes(docs) // PART_BYTES))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]  # rows of one doc_id spread too
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     numbered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def run(batches):
-        encoder = WordEncoder(path)
+        encoder = load_words(path)
         base = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
         part, seq, first, pending, doc_ids, counts = 0, 0, 0, [], [], []
 
@@ -285,9 +338,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END) ->
         kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
         schema = pa.schema([(n, kinds[k]) for n, k in (x.split(" ") for x in FILE.split(", "))])
         held = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in batches_of(batches, 1 << 30, 6 << 20):  # the larger a batch, the fewer distinct chunks
             part = batch.column(0)[0].as_py()
             ids, bounds = encoder.encode_batch(batch.column(2))
             for doc_id, a, b in zip(batch.column(1).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -304,37 +355,72 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END) ->
     return cut(numbered.mapInArrow(run, FILE), f"{folder}/shards")
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """doc_id, start (over all shards), n_tokens, ids_crc32, decoded from the files."""
-    # a row per part reaches the driver, not per document: parts are PART_BYTES of input each
+def placed(shards: DataFrame) -> DataFrame:
+    """shards with `first` counted over all of them, not within the part."""
+    # a row per part, of which there are at most MAX_PARTS or shuffle partitions
     sizes = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
     starts, at = [], 0
     for r in sizes:
         starts.append((r.part, at))
         at += r.n
     offsets = F.broadcast(shards.sparkSession.createDataFrame(starts, "p int, part_start long"))
-    joined = shards.join(offsets, F.col("part") == F.col("p")).withColumn("first", F.col("first") + F.col("part_start"))
+    joined = shards.join(offsets, F.col("part") == F.col("p"))
+    return joined.withColumn("first", F.col("first") + F.col("part_start")).drop("p", "part_start")
+
+
+def _documents(row: dict) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """doc_ids, first places and numbers of ids of a shard's documents."""
+    counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
+    nulls = np.frombuffer(row["nulls"], np.uint8).astype(bool)
+    return pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=nulls), np.cumsum(counts) - counts, counts
+
+
+def read_shards(shards: DataFrame) -> DataFrame:
+    """doc_id, start (over all shards), n_tokens, ids_crc32, decoded from the files."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
-                ids = grammar_of(row).decode().astype("<u4")
-                ends = np.cumsum(counts)
-                begins = ends - counts
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins.tolist(), ends.tolist())]
-                nulls = np.frombuffer(row["nulls"], np.uint8).astype(bool)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=nulls),
-                        pa.array(begins + row["first"]), pa.array(counts), pa.array(crc, pa.int64()),
-                    ],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
-
-    return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                doc_ids, begins, counts = _documents(row)
+                data = memoryview(grammar_of(row).decode().astype("<u4")).cast("B")
+                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(begins.tolist(), (begins + counts).tolist())]
+                columns = [doc_ids, pa.array(begins + row["first"]), pa.array(counts), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return placed(shards).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def read_documents(shards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and ids of the documents of the DataFrame wanted (doc_id), by random access: a shard's
+    rules are expanded only where these documents reach them."""
+    listed = shards.withColumn("shard", F.struct("part", "seq"))
+    schema = "part int, seq int, place int, doc_id long"
+
+    def index(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                doc_ids = _documents(row)[0]
+                whole = [pa.array([row[n]] * len(doc_ids), pa.int32()) for n in ("part", "seq")]
+                columns = [*whole, pa.array(np.arange(len(doc_ids)), pa.int32()), doc_ids]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "seq", "place", "doc_id"])
+
+    named = listed.select("part", "seq", "doc_ids", "nulls", "counts").mapInArrow(index, schema)
+    asked = wanted.select(F.col("doc_id").cast("long").alias("w")).distinct()
+    found = named.join(asked, F.col("doc_id").eqNullSafe(F.col("w")))
+    places = found.groupBy("part", "seq").agg(F.collect_list("place").alias("places"))  # at most a shard's documents
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                doc_ids, begins, counts = _documents(row)
+                grammar, chosen = grammar_of(row), sorted(row["places"])
+                ids = [grammar.decode(int(begins[k]), int(begins[k] + counts[k])) for k in chosen]
+                columns = [doc_ids.take(pa.array(chosen)), pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids"])
+
+    return shards.join(places, ["part", "seq"]).mapInArrow(run, "doc_id long, ids array<long>")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(configure(spark), sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return read_shards(write_shards(docs, vocabulary("word_bpe_49k.json"), work_folder(spark)))

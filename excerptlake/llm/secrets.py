@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import configure, map_arrow, table, text_or_empty
+from .common import map_arrow, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -402,4 +402,4 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(table(configure(spark), sf_dir, "documents"))
+    return find_secrets(table(spark, sf_dir, "documents"))

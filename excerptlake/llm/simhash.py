@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import configure, cut, map_arrow, table, text_or_empty, work_folder
+from .common import cut, map_arrow, table, text_or_empty, work_folder
 from .graph import connected_components
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 3
@@ -137,7 +137,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESH
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_groups(table(configure(spark), sf_dir, "documents"))
+    found = near_groups(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import configure, cut, input_bytes, map_arrow, table, text_or_empty, work_folder
+from .common import cut, input_bytes, map_arrow, table, text_or_empty, work_folder
 
 LENGTH, K = 50, 24
 BUCKET_BYTES = 2 << 20
@@ -390,5 +390,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(table(configure(spark), sf_dir, "documents"))
+    found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

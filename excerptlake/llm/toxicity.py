@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import configure, cut, extended, map_arrow, table, text_or_empty, work_folder
+from .common import cut, extended, map_arrow, table, text_or_empty, work_folder
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_TERMS = 2500, 5000, 1000
 #: A term stands in MIN_DOCS toxic documents and MIN_RATE of them at least; rarer words are chance.
@@ -349,7 +349,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))

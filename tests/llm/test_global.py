@@ -33,6 +33,21 @@ def test_grammar_round_trip(monkeypatch):
     assert len(repair.compress(np.tile(np.arange(8), 500).astype(np.uint32), 50).sequence) < 1000
 
 
+@pytest.mark.parametrize("least", [4, 24])
+def test_no_frequent_pair_is_left(monkeypatch, least):
+    monkeypatch.setattr(repair, "MIN_COUNT", least)
+    r = np.random.default_rng(2)
+    shards = [np.full(1 << 19, 7), r.integers(0, 3, 20_000), np.tile(r.integers(0, 50, 700), 40), np.zeros(0), np.zeros(1)]
+    for ids in shards:
+        g = repair.compress(ids.astype(np.uint32), 50)
+        assert (g.decode() == ids).all()
+        seen, at, sequence = {}, 0, g.sequence.tolist()
+        for k, pair in enumerate(zip(sequence, sequence[1:])):  # no overlap of a pair with itself
+            if seen.get(pair, (0, -2))[1] < k - 1:
+                seen[pair] = (seen.get(pair, (0, 0))[0] + 1, k)
+        assert max((n for n, _ in seen.values()), default=0) < least
+
+
 def test_token_files(spark, docs, tmp_path):
     path = bpe.vocabulary("word_bpe_49k.json")
     rows = repair.read_shards(repair.write_shards(docs, path, str(tmp_path / "x"))).orderBy("doc_id").collect()
@@ -41,6 +56,11 @@ def test_token_files(spark, docs, tmp_path):
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
         assert tuple(row) == (doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+    shards = repair.write_shards(docs, path, str(tmp_path / "z"))
+    wanted = spark.createDataFrame([(5,), (5,), (3,), (999,)], "doc_id long")
+    found = {r.doc_id: r.ids for r in repair.read_documents(shards, wanted).collect()}
+    texts = dict(corpus())
+    assert found == {k: [*library.encode(texts[k] or "", add_special_tokens=False).ids, 1] for k in (3, 5)}
     assert repair.read_shards(repair.write_shards(docs.limit(0), path, str(tmp_path / "y"))).count() == 0
 
 

@@ -57,6 +57,38 @@ def test_ids_equal_the_library(name):
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in expected]
 
 
+SIGNS = ["\u0130", "\u0307", "\u030c", "J", "H\u0331", "\u1e9e", "'", "'S", "'LL", "\u2019", "<|endoftext|>", "<|startoftext|>", "\x05", "\x1b[31m", "\x7f", "\x1c", "\x85", "\xa0", " ", "\n", "\x0b", "e\u0301", "\u65e5\u672c", "\u03a3", "\u00aa", "\u00b5", "\u00d7", "12", "\u00bd", "\u2167", "!", "?!", "\u2026", "word", "\u3000", "\U0001f600", "\ufb01", "\u1100\u1161", "\ufeff", "\u00fc.", "(\u0130)"]
+
+
+def random_text(r):
+    out = []
+    for _ in range(r.randint(0, 12)):
+        k = r.random()
+        if k < 0.5:
+            out.append(r.choice(SIGNS))
+        elif k < 0.7:
+            out.append(chr(r.randint(0, 0x17F)))
+        elif k < 0.8:
+            out.append(chr(r.choice([r.randint(0x300, 0x36F), r.randint(0x370, 0xD7FF), r.randint(0xE000, 0x1FFFF)])))
+        else:
+            out.append("".join(r.choice("abcABC' .,") for _ in range(4)))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_random_texts(name):
+    """Over all classes of code points, controls and marks too."""
+    path, r = bpe.vocabulary(name), random.Random(7)
+    encoder = bpe.load(path) if name.startswith("byte") else repair.WordEncoder(path)
+    texts = [random_text(r) for _ in range(10_000)]
+    library = Tokenizer.from_file(path)
+    for at in range(0, len(texts), 1000):
+        part = texts[at : at + 1000]
+        ids, bounds = encoder.encode_batch(pa.array(part))
+        expected = library.encode_batch(part, add_special_tokens=False)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in expected]
+
+
 def test_decode_round_trip(docs):
     rows = bpe.encode_decode(docs, bpe.vocabulary("byte_bpe_50k.json")).collect()
     assert all(r.decoded == (r.text or "") for r in rows)
