@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import VIDEO_SUFFIXES
 from ..functions.scalars import basename, under_any_root
 from ..schemas import TABLES
+from .numbering import numbered
 
 _COLUMNS = [f.name for f in TABLES["videos"].fields]
 _PROBED = ("size_bytes", "duration_sec", "width", "height", "codec", "container", "has_audio", "mtime", "probed_at")
@@ -118,16 +119,10 @@ def upsert_videos(videos: DataFrame, probed: DataFrame, now: float) -> DataFrame
 
 def number_rows(new: DataFrame, videos: DataFrame) -> DataFrame:
     """new rows with ids after the catalog's greatest, in path order; only a batch's new files are
-    numbered, through range partitions and their sizes, so no task holds them all."""
-    ordered = new.orderBy("path").withColumns(
-        {"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}
-    )
-    total = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ordered.groupBy("__p").agg(F.count("*").alias("__s"))
-    starts = sizes.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__s").over(total), F.lit(0)).alias("__start"))
+    numbered."""
     base = videos.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__base"))
-    placed = ordered.join(F.broadcast(starts), F.col("__p") == F.col("__q")).join(F.broadcast(base))
-    return placed.withColumn("id", F.col("__base") + F.col("__start") + F.col("__i") + 1).select(*new.columns)
+    placed = numbered(new, ["path"]).join(F.broadcast(base))
+    return placed.withColumn("id", F.col("__base") + F.col("__k") + 1).select(*new.columns)
 
 
 def fingerprint_worklist(videos: DataFrame, limit: int = 0) -> DataFrame:

@@ -115,8 +115,11 @@ def match_summary(evidence: Column) -> list[Column]:
 
 def seek_points(evidence: Column, key: str) -> Column:
     """Times of the evidence, one per tenth of a second (the first), in ascending order."""
-    items = F.transform(evidence, lambda m, i: F.struct(F.format_number(F.round(m[key], 1), 1).alias("k"), i.alias("i"), m[key].alias("t")))
-    first = F.filter(items, lambda x: ~F.exists(items, lambda y: (y["k"] == x["k"]) & (y["i"] < x["i"])))
+    tenth = lambda m: F.format_number(F.round(m[key], 1), 1)
+    items = F.array_sort(F.transform(evidence, lambda m, i: F.struct(tenth(m).alias("k"), i.alias("i"), m[key].alias("t"))))
+    # sorted by tenth and place, an item is the first of its tenth if the one before it has another
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(items, lambda x: x["k"]))
+    first = F.filter(items, lambda x, j: ~F.get(before, j).eqNullSafe(x["k"]) | (j == 0))
     return F.array_sort(F.transform(first, lambda x: x["t"]))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
 from ..functions.scalars import parse_color_sig, parse_hash
+from .numbering import numbered
 
 
 def _by_video():
@@ -52,40 +53,27 @@ def scene_counts(scenes: DataFrame) -> DataFrame:
     return scenes.groupBy("video_id").agg(F.count("*").alias("n_scenes"))
 
 
+def _evenly(k: Column, n: Column, most: int) -> Column:
+    """Whether row k of n is int(i * n / most) for some i under most, or there are no more than most rows."""
+    step = n / F.lit(most)
+    i = F.ceil(k / step)  # the least candidate, but for rounding
+    hit = lambda x: (F.floor(x * step) == k) & (x >= 0) & (x < most)
+    return (n <= most) | hit(i) | hit(i - 1) | hit(i + 1)
+
+
 def even_subsample(rows: DataFrame, most: int, order_by: list[str], partition_by: list[str] = ()) -> DataFrame:
     """Rows number int(i * n / most) for i under most, of n rows in order; all rows if there are
     no more than that. most = 0 keeps all."""
     if not most:
         return rows
     window = Window.partitionBy(*partition_by)
-    step = F.col("__n") / F.lit(most)
-    # row k is kept if some i has int(i * step) = k; the least candidate i is ceil(k / step)
-    i = F.ceil(F.col("__k") / step)
-    hit = lambda x: (F.floor(x * step) == F.col("__k")) & (x >= 0) & (x < most)
-    kept = (F.col("__n") <= most) | hit(i) | hit(i - 1) | hit(i + 1)
-    numbered = rows.withColumns({"__k": F.row_number().over(window.orderBy(*order_by)) - 1, "__n": F.count("*").over(window)})
-    return numbered.filter(kept).drop("__k", "__n")
+    placed = rows.withColumns({"__k": F.row_number().over(window.orderBy(*order_by)) - 1, "__n": F.count("*").over(window)})
+    return placed.filter(_evenly(F.col("__k"), F.col("__n"), most)).drop("__k", "__n")
 
 
 def stratified_sample(rows: DataFrame, n: int, key: list[str]) -> DataFrame:
-    """n rows spread evenly over the sorted key, without a window over all rows: the row numbers
-    come from sorted partitions and their sizes, of which there is one number each."""
-    ordered = rows.orderBy(*key).withColumn("__p", F.spark_partition_id())
-    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ordered = ordered.withColumn("__i", position)
-    sizes = ordered.groupBy("__p").agg(F.count("*").alias("__size"))
-    total = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        F.col("__p").alias("__part"),
-        F.coalesce(F.sum("__size").over(total), F.lit(0)).alias("__start"),
-        F.sum("__size").over(Window.partitionBy()).alias("__n"),
-    )
-    step = F.col("__n") / F.lit(n)
-    k = F.col("__i") + F.col("__start")
-    i = F.ceil(k / step)
-    hit = lambda x: (F.floor(x * step) == k) & (x >= 0) & (x < n)
-    joined = ordered.join(F.broadcast(starts), F.col("__p") == F.col("__part"))  # a row per partition
-    return joined.filter((F.col("__n") <= n) | hit(i) | hit(i - 1) | hit(i + 1)).select(*rows.columns)
+    """n rows spread evenly over the sorted key, without a window over all rows."""
+    return numbered(rows, key).filter(_evenly(F.col("__k"), F.col("__n"), n)).select(*rows.columns)
 
 
 def replace_scenes(scenes: DataFrame, fingerprinted: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -20,3 +22,20 @@ def ship(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
     return spark
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share. A local session
+    may go without the setting; on a cluster a folder of one machine would lose data."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/excerptlake-checkpoints"
+    return f"{base.rstrip('/')}/excerptlake-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df written to path in the shared folder and read back: planned once, lineage ends there."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from excerptlake import config
 from excerptlake.functions import imaging
 from excerptlake.functions import scalars as S
-from excerptlake.operators import inventory, mutations, review, scans, versioned
+from excerptlake.operators import inventory, mutations, review, scans, scenes, versioned
 from excerptlake.schemas import TABLES, conform, empty
 from excerptlake.sources import library, probes
 from excerptlake.streaming.inventory import LISTING, watch_listings
@@ -32,6 +32,8 @@ def test_library_listing(spark, tmp_path):
     found = {r.path.rsplit("/", 1)[1]: r.size_bytes for r in inventory.video_files(listed).collect()}
     assert found == {"one.mp4": 7, "two.MKV": 7}
     assert library.split_roots("/a::/b: ") == ["/a", "/b"]
+    there = [str(tmp_path / "a"), str(tmp_path / "nope"), str(tmp_path / "a" / "one.mp4")]
+    assert library.missing_roots(spark, there) == there[1:]
 
 
 def test_limit_after_filter(spark):
@@ -156,6 +158,51 @@ def test_versions(spark, tmp_path):
     old = versioned.current(spark, str(tmp_path), "decisions")
     assert versioned.commit(mutations.purge_staging(old), str(tmp_path), "decisions") == 2
     assert versioned.current(spark, str(tmp_path), "decisions").first().status == "deleted"
+    assert versioned.commit(old, str(tmp_path), "decisions", base=2) == 3
+    with pytest.raises(RuntimeError):  # made from version 2, but version 3 is there
+        versioned.commit(old, str(tmp_path), "decisions", base=2)
+    (tmp_path / "decisions" / "_claims" / "v4").touch()  # a writer that was lost
+    assert versioned.current(spark, str(tmp_path), "decisions").count() == 1
+    assert versioned.commit(old, str(tmp_path), "decisions") == 5
+
+
+def test_new_rows_all_get_ids(spark):
+    """Under the default partition merging: wide rows, of which a count alone would plan less."""
+    n = 200_000
+    known = videos(spark, [(7, "/lib/00000009.mp4", 1, 1.0, 1.0, None)])
+    wide = spark.range(n).select(
+        F.format_string("/lib/%08d.mp4", F.col("id") * 7919 % n).alias("path"), F.col("id").alias("size_bytes"), F.lit(1.0).alias("duration_sec"),
+        F.lit(1).alias("width"), F.lit(1).alias("height"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("codec"),
+        F.sha2(F.col("id").cast("string"), 512).alias("container"), F.lit(1).alias("has_audio"), F.lit(1.0).alias("mtime"),
+    )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        rows = inventory.upsert_videos(known, wide, 5.0).select("id", "path").orderBy("id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(rows) == n and rows[0].id == 7 and rows[0].path == "/lib/00000009.mp4"
+    new = [r for r in rows if r.id != 7]
+    assert [r.id for r in new] == list(range(8, n + 7)) and [r.path for r in new] == sorted(r.path for r in new)
+
+
+def test_even_samples(spark):
+    rows = spark.range(8000).select(F.col("id"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 8).alias("wide"))
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "512KB")
+    try:
+        assert [r.id for r in scenes.stratified_sample(rows, 4, ["id"]).select("id").orderBy("id").collect()] == [0, 2000, 4000, 6000]
+    finally:
+        spark.conf.unset(key)
+    assert scenes.stratified_sample(rows.limit(0), 4, ["id"]).count() == 0
+    assert scenes.stratified_sample(rows.limit(3), 4, ["id"]).count() == 3
+
+
+def test_seek_points(spark):
+    times = [1.04, 9.0, 1.01, 0.96, 9.04, None, 5.0, 5.0]
+    df = spark.createDataFrame([([{"t": t} for t in times],), ([],)], "e array<struct<t:double>>")
+    got = [r[0] for r in df.select(review.seek_points(F.col("e"), "t")).collect()]
+    assert got[0][:3] == [1.04, 5.0, 9.0] and got[0][3:] == [None] and got[1] == []
 
 
 def test_stream_of_listings(spark, tmp_path):
