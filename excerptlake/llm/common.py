@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import session
 from ..session import ship
 
 #: Rows and bytes of what an operator's batch function is given at once (a longer row comes alone).
@@ -24,15 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share. A local session
-    may go without the setting; on a cluster a folder of one machine would lose data."""
-    ship(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"{tempfile.gettempdir()}/excerptlake-checkpoints"
-    return f"{base.rstrip('/')}/excerptlake-{uuid.uuid4().hex}"
+    """A new folder in the shared folder; workers find the package from here on."""
+    return session.work_folder(ship(spark))
 
 
 def cut(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
