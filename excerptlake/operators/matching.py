@@ -1,6 +1,6 @@
 """Matching previews to candidates: pairs, scene evidence, scores, guards, ranking.
 
-The evidence join goes by hash: distinct hashes of both sides meet in hamming_join, scenes come back
+The evidence join goes by hash: distinct hashes meet in hamming_self_join, scenes come back
 by equality, and the duration rule prunes pairs in the same join. Videos that share no hash within
 the threshold never form a pair, so the work follows matching scenes, not videos squared.
 """
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..config import VARIANTS, MatchConfig
 from ..functions.scalars import audio_similarity, color_distance, combined_score, parse_chromaprint
-from .hamming import hamming_join
+from ..session import work_folder, written
+from .hamming import hamming_self_join
 from .scenes import load_scenes
 
 
@@ -51,39 +52,49 @@ def candidate_pairs(videos: DataFrame, feedback: DataFrame, cfg: MatchConfig = M
 
 
 def _by_variant(scenes: DataFrame) -> DataFrame:
-    """A row per scene and variant, numbered in the order that breaks ties."""
+    """video_id, pos, variant and hash: a row per scene and variant, numbered in the order that breaks ties."""
     variants = F.array(*[F.struct(F.lit(i).alias("variant"), F.col(f"h{i}").alias("hash")) for i in range(3)])
-    return scenes.withColumn("v", F.explode(variants)).select(*scenes.columns, "v.variant", "v.hash").drop("h0", "h1", "h2")
+    return scenes.select("video_id", "pos", F.explode(variants).alias("v")).select("video_id", "pos", "v.variant", "v.hash")
 
 
 def best_scene_matches(videos: DataFrame, scenes: DataFrame, feedback: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """For each preview scene and candidate video, the nearest candidate scene within the threshold.
 
     Ties go to the first candidate scene, then preview variant, then candidate variant: the least
-    of a struct in that order. `scenes` comes from load_scenes.
+    number that holds these in that order, so the aggregation is by hash and over narrow rows; what
+    is known of the two scenes is joined to its result. `scenes` comes from load_scenes.
     """
     known = fingerprinted_videos(videos)
-    keyed = _by_variant(scenes).join(known, F.col("video_id") == F.col("id")).drop("id")
-    hashes = keyed.select("hash")
-    links = hamming_join(hashes, hashes, cfg.hash_threshold)
-    p = keyed.select(
+    folder = work_folder(videos.sparkSession)
+    scenes = written(scenes.join(known, F.col("video_id") == F.col("id")).drop("id"), f"{folder}/scenes")
+    keyed = _by_variant(scenes).filter("hash is not null")
+    links = hamming_self_join(keyed.select("hash"), cfg.hash_threshold)
+    # a hash that repeats in a video counts once, at its first scene: no later one can be nearer
+    place = F.min(F.shiftleft(F.col("pos").cast("long"), 2) + F.col("variant")).alias("place")
+    durations = known.select(F.col("id").alias("video_id"), "duration_sec")
+    first = keyed.groupBy("video_id", "hash").agg(place).join(durations, "video_id")
+    p = keyed.join(durations, "video_id").select(
         F.col("video_id").alias("preview_id"), F.col("duration_sec").alias("pd"), F.col("pos").alias("p_pos"),
-        F.col("timestamp_sec").alias("preview_ts"), F.col("scene_duration").alias("p_duration"),
-        F.col("color").alias("p_color"), F.col("n_kept"), F.col("variant").alias("pv"), F.col("hash").alias("left_hash"),
-    )
-    c = keyed.select(
-        F.col("video_id").alias("candidate_id"), F.col("duration_sec").alias("cd"), F.col("pos").alias("c_pos"),
-        F.col("timestamp_sec").alias("candidate_ts"), F.col("scene_duration").alias("c_duration"),
-        F.col("color").alias("c_color"), F.col("variant").alias("cv"), F.col("hash").alias("right_hash"),
+        F.col("variant").alias("pv"), F.col("hash").alias("left_hash"),
     )
+    c = first.select(
+        F.col("video_id").alias("candidate_id"), F.col("duration_sec").alias("cd"), F.col("place"), F.col("hash").alias("right_hash")
+    )
     rule = duration_rule(F.col("pd"), F.col("cd"), cfg) & (F.col("preview_id") != F.col("candidate_id"))
     met = p.join(links, "left_hash").join(c, "right_hash").filter(rule)
-    best = met.groupBy("preview_id", "candidate_id", "p_pos").agg(
-        F.min(F.struct("distance", "c_pos", "pv", "cv", "candidate_ts", "c_duration", "c_color")).alias("best"),
-        *[F.first(x).alias(x) for x in ("preview_ts", "p_duration", "p_color", "n_kept")],
-    )
-    kept = best.select("preview_id", "candidate_id", "p_pos", "n_kept", "preview_ts", "p_duration", "p_color", "best.*")
-    return kept.join(dismissed_pairs(feedback), ["preview_id", "candidate_id"], "left_anti")
+    bits = lambda x, n: x.bitwiseAND(F.lit((1 << n) - 1))
+    rank = F.shiftleft(F.col("distance").cast("long"), 40) + F.shiftleft(F.shiftright("place", 2), 4)
+    rank = rank + F.shiftleft(F.col("pv"), 2) + bits(F.col("place"), 2)
+    best = met.groupBy("preview_id", "candidate_id", "p_pos").agg(F.min(rank).alias("rank"))
+    best = best.join(dismissed_pairs(feedback), ["preview_id", "candidate_id"], "left_anti").select(
+        "preview_id", "candidate_id", "p_pos", F.shiftright("rank", 40).cast("int").alias("distance"),
+        bits(F.shiftright("rank", 4), 36).cast("int").alias("c_pos"),
+        bits(F.shiftright("rank", 2), 2).cast("int").alias("pv"), bits(F.col("rank"), 2).cast("int").alias("cv"),
+    )
+    of = lambda who, **names: scenes.select(F.col("video_id").alias(f"{who}_id"), *[F.col(c).alias(n) for n, c in names.items()])
+    preview = of("preview", p_pos="pos", n_kept="n_kept", preview_ts="timestamp_sec", p_duration="scene_duration", p_color="color")
+    candidate = of("candidate", c_pos="pos", candidate_ts="timestamp_sec", c_duration="scene_duration", c_color="color")
+    return best.join(candidate, ["candidate_id", "c_pos"]).join(preview, ["preview_id", "p_pos"])
 
 
 def within_color(best: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:

@@ -103,7 +103,7 @@ STEPS = {
         b.candidate_ts, b.c_duration, b.c_color FROM (SELECT p.video_id AS preview_id, c.video_id AS candidate_id, p.pos AS p_pos,
         any_value(p.n_kept) AS n_kept, any_value(p.timestamp_sec) AS preview_ts, any_value(p.scene_duration) AS p_duration,
         any_value(p.color) AS p_color, arg_min({{'distance': distance, 'c_pos': c.pos, 'pv': p.v, 'cv': c.v, 'candidate_ts': c.timestamp_sec,
-        'c_duration': c.scene_duration, 'c_color': c.color}}, distance * 1000000000 + c.pos * 100 + p.v * 10 + c.v) AS b
+        'c_duration': c.scene_duration, 'c_color': c.color}}, distance::BIGINT * 1000000000 + c.pos * 100 + p.v * 10 + c.v) AS b
         FROM variants p JOIN near ON near.ph = p.h JOIN variants c ON near.ch = c.h
         WHERE p.video_id <> c.video_id AND {_RULE} GROUP BY 1, 2, 3)
         WHERE NOT EXISTS (SELECT 1 FROM match_feedback f WHERE f.preview_id = best_.preview_id)""",

@@ -46,7 +46,9 @@ class Fixtures:
 
     def scenes(self) -> DataFrame:
         i, line = F.col("doc_id"), F.col("line")
-        digest = lambda tag: F.substring(F.md5(F.concat(line, F.lit(tag))), 1, 16)
+        # the last digit goes by the video, so that copies of a line have near hashes, not equal ones
+        digit = F.lower(F.hex(i % 16))
+        digest = lambda tag: F.concat(F.substring(F.md5(F.concat(line, F.lit(tag))), 1, 15), digit)
         swap = i % 3 == 0
         return conform(
             self.lines().filter(F.length("line") > 20).select(
@@ -171,9 +173,9 @@ VIEWS = {
         FROM (SELECT doc_id, source, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS pos
         FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents))""",
     "scenes": """SELECT doc_id * 100000 + pos AS id, doc_id AS video_id, pos::INT AS scene_index, before / 10.0::DOUBLE AS timestamp_sec,
-        substr(md5(CASE WHEN doc_id % 3 = 0 THEN line || '#f' ELSE line END), 1, 16) AS phash,
-        substr(md5(line || '#c'), 1, 16) AS phash_cropped,
-        substr(md5(CASE WHEN doc_id % 3 = 0 THEN line ELSE line || '#f' END), 1, 16) AS phash_flipped,
+        substr(md5(CASE WHEN doc_id % 3 = 0 THEN line || '#f' ELSE line END), 1, 15) || lower(to_hex(doc_id % 16)) AS phash,
+        substr(md5(line || '#c'), 1, 15) || lower(to_hex(doc_id % 16)) AS phash_cropped,
+        substr(md5(CASE WHEN doc_id % 3 = 0 THEN line ELSE line || '#f' END), 1, 15) || lower(to_hex(doc_id % 16)) AS phash_flipped,
         sha256(CASE WHEN doc_id % 5 = 0 THEN line || source ELSE line END) AS color_sig FROM lines WHERE length(line) > 20""",
     "audio_fp": """SELECT doc_id AS video_id, n_chars / 10.0::DOUBLE AS duration_sec,
         array_to_string(list_transform(string_split(text, chr(10)), lambda x: ('0x' || substr(md5(x), 1, 8))::UBIGINT::VARCHAR), ',') AS fingerprint,
