@@ -10,7 +10,7 @@ ends a chunk after a line where it is 0 modulo DIVISOR, once the chunk has MIN_L
 (MAX_LINES end it anyway; a shorter rest joins the last chunk). Boundaries follow content, so a
 passage shifted within another text mostly falls into the same chunks again, but not at its edges.
 
-Of each candidate the first by (doc_id, place) stays and the others go, after their bytes were
+Of each candidate the first by (doc_id, hash of the text, place) stays and the others go, after their bytes were
 compared with the first one's. An occurrence that overlaps the first one within a document is part
 of it and stays.
 
@@ -21,8 +21,9 @@ row per key on one side, so hot keys can be split by skew handling; they are sor
 hint, as what they join to grows with the input and is never broadcast.
 
 Defined cases: null text stays null; a text without repeats stays as it is, a text whose lines
-all go is the empty text (the row stays); rows with equal doc_id count as one document, so their
-copies at one place are all first; null doc_id sorts before all others; other columns stay,
+all go is the empty text (the row stays); rows equal in doc_id and text count as one document, so
+their copies at one place are all first; rows that share a doc_id only are documents in the order
+of a hash of their text; null doc_id sorts before all others; other columns stay,
 n_chars, where there is one, follows the new text; an empty table gives no rows.
 """
 
@@ -97,91 +98,102 @@ def passages(lines: list[bytes]) -> set[tuple[int, int]]:
     return out
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, th and text of the rows with text; th tells rows of one doc_id apart."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.filter("text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
+
+
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, place and n (first line and number of lines), k1 and k2 (128 bits of hash) of what
+    """doc_id, th, place and n (first line and number of lines), k1 and k2 (128 bits of hash) of what
     may be removed as a repeat: the candidates and the passages."""
 
     def make():
         digest = xxhash.xxh3_128_digest
 
         def step(batch):
-            ids, places, counts, keys = [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+            rows, places, counts, keys = [], [], [], []
+            for row, text in enumerate(batch.column(2).cast(pa.binary())):
                 text = text.as_buffer().to_pybytes()
                 lines = text.split(b"\n")
                 hashes = b"".join([digest(x) for x in lines])  # a span's key hashes these, whatever its length
                 for a, b in passages(lines) | {(a, b) for a, b, _ in candidates(text)}:
-                    ids.append(doc_id)
+                    rows.append(row)
                     places.append(a)
                     counts.append(b - a)
                     keys.append(digest(hashes[16 * a : 16 * b]))
             halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(counts, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "n", "k1", "k2"])
+            own = [batch.column(k).take(pa.array(rows, pa.int32())) for k in (0, 1)]
+            columns = [*own, pa.array(places, pa.int32()), pa.array(counts, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "place", "n", "k1", "k2"])
 
         return step
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows.filter("text is not null"), make, "doc_id long, place int, n int, k1 long, k2 long")
+    return map_arrow(_rows(docs), make, "doc_id long, th long, place int, n int, k1 long, k2 long")
 
 
 def repeated_runs(docs: DataFrame, folder: str) -> DataFrame:
-    """doc_id, place, n, first_doc, first_place: runs of lines that occur before, by their hashes.
+    """doc_id, th, place, n, first_doc, first_th, first_place: runs of lines that occur before, by their hashes.
 
     Repeated spans that lie at the same distance from their first ones and overlap or touch are one run.
     """
-    at = F.struct("doc_id", "place")
+    at = F.struct("doc_id", "th", "place")
     firsts = spans(docs).groupBy("k1", "k2").agg(F.min(at).alias("first"), F.count("*").alias("spans"))
     firsts = cut(firsts.filter("spans > 1").drop("spans"), f"{folder}/firsts")
     found = spans(docs).join(firsts.hint("merge"), ["k1", "k2"])
     # a span that overlaps its first one within a document is part of it
-    apart = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("first.place") + F.col("n") <= F.col("place"))
-    found = found.filter(apart).select(
-        "doc_id", "place", (F.col("place") + F.col("n")).alias("end"), F.col("first.doc_id").alias("first_doc"), (F.col("place") - F.col("first.place")).alias("shift")
-    )
-    pair = Window.partitionBy("doc_id", "first_doc", "shift").orderBy("place")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    found = found.filter(~same | (F.col("first.place") + F.col("n") <= F.col("place"))).select(
+        "doc_id", "th", "place", (F.col("place") + F.col("n")).alias("end"),
+        F.col("first.doc_id").alias("first_doc"), F.col("first.th").alias("first_th"), (F.col("place") - F.col("first.place")).alias("shift"),
+    )
+    key = ["doc_id", "th", "first_doc", "first_th", "shift"]
+    pair = Window.partitionBy(*key).orderBy("place")
     reached = F.max("end").over(pair.rowsBetween(Window.unboundedPreceding, -1))
     begun = found.withColumn("new", F.coalesce(F.col("place") > reached, F.lit(True)).cast("int"))
     numbered = begun.withColumn("run", F.sum("new").over(pair.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.groupBy("doc_id", "first_doc", "shift", "run").agg(F.min("place").alias("place"), F.max("end").alias("end"))
-    runs = runs.select("doc_id", "place", (F.col("end") - F.col("place")).alias("n"), "first_doc", (F.col("place") - F.col("shift")).alias("first_place"))
+    runs = numbered.groupBy(*key, "run").agg(F.min("place").alias("place"), F.max("end").alias("end"))
+    runs = runs.select(*key[:4], "place", (F.col("end") - F.col("place")).alias("n"), (F.col("place") - F.col("shift")).alias("first_place"))
     return cut(runs, f"{folder}/runs")
 
 
 def run_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """doc_id, place, n and the bytes of each of the distinct places (doc_id, place, n)."""
-    wanted = places.groupBy(F.col("doc_id").alias("did")).agg(F.collect_set(F.struct("place", "n")).alias("places"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    joined = rows.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("did"))).select("doc_id", "text", "places")
+    """doc_id, th, place, n and the bytes of each of the distinct places (doc_id, th, place, n)."""
+    wanted = places.groupBy(F.col("doc_id").alias("did"), F.col("th").alias("dth")).agg(F.collect_set(F.struct("place", "n")).alias("places"))
+    own = (F.col("th") == F.col("dth")) & F.col("doc_id").eqNullSafe(F.col("did"))
+    joined = _rows(docs).join(wanted.hint("merge"), own).select("doc_id", "th", "text", "places")
 
     def make():
         def step(batch):
             for k in range(batch.num_rows):  # a batch each: a document's runs may hold its text several times
-                lines = batch.column(1)[k].as_py().encode().split(b"\n")
-                at = [(x["place"], x["n"]) for x in batch.column(2)[k].as_py() if x["place"] + x["n"] <= len(lines)]
+                lines = batch.column(2)[k].as_py().encode().split(b"\n")
+                at = [(x["place"], x["n"]) for x in batch.column(3)[k].as_py()]
                 texts = [b"\n".join(lines[a : a + n]) for a, n in at]
-                columns = [pa.array([batch.column(0)[k].as_py()] * len(at), pa.int64()), *(pa.array(list(x), pa.int32()) for x in (zip(*at) if at else ([], []))), pa.array(texts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "n", "bytes"])
+                rows = [pa.array([batch.column(j)[k].as_py()] * len(at), pa.int64()) for j in (0, 1)]
+                columns = [*rows, *(pa.array(list(x), pa.int32()) for x in zip(*at)), pa.array(texts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "place", "n", "bytes"])
 
         return step
 
-    return map_arrow(joined, make, "doc_id long, place int, n int, bytes binary")
+    return map_arrow(joined, make, "doc_id long, th long, place int, n int, bytes binary")
 
 
 def repeated_places(docs: DataFrame, folder: str) -> DataFrame:
-    """did, places: first line and number of lines of the runs to remove from each document that has any."""
+    """did, dth, places: first line and number of lines of the runs to remove from each row that has any."""
     runs = repeated_runs(docs, folder)
-    first_places = runs.select(F.col("first_doc").alias("doc_id"), F.col("first_place").alias("place"), "n")
-    texts = cut(run_texts(docs, runs.select("doc_id", "place", "n").union(first_places)), f"{folder}/texts")
-    # rows of one document may differ: what stands first is the least of their bytes, once for each place
-    firsts = texts.groupBy("doc_id", "place", "n").agg(F.min("bytes").alias("first_bytes"))
-    firsts = firsts.select(F.col("doc_id").alias("d"), F.col("place").alias("p"), F.col("n").alias("m"), "first_bytes")
-    own = texts.select(F.col("doc_id").alias("o"), F.col("place").alias("q"), F.col("n").alias("l"), "bytes")
-    later = runs.join(own.hint("merge"), F.col("doc_id").eqNullSafe(F.col("o")) & (F.col("place") == F.col("q")) & (F.col("n") == F.col("l")))
-    later = later.select("doc_id", "place", "n", "first_doc", "first_place", "bytes")
-    same = later.join(firsts.hint("merge"), F.col("first_doc").eqNullSafe(F.col("d")) & (F.col("first_place") == F.col("p")) & (F.col("n") == F.col("m")))
-    same = same.filter(F.col("bytes") == F.col("first_bytes"))
-    marks = same.groupBy(F.col("doc_id").alias("did")).agg(F.collect_set(F.struct("place", "n")).alias("places"))
+    first_places = runs.select(F.col("first_doc").alias("doc_id"), F.col("first_th").alias("th"), F.col("first_place").alias("place"), "n")
+    texts = run_texts(docs, runs.select("doc_id", "th", "place", "n").union(first_places))
+    # repeated rows give a place several times
+    texts = cut(texts.groupBy("doc_id", "th", "place", "n").agg(F.min("bytes").alias("bytes")), f"{folder}/texts")
+
+    def with_bytes(rows: DataFrame, doc: str, th: str, place: str, name: str) -> DataFrame:
+        of = texts.select(F.col("doc_id").alias("o"), F.col("th").alias("h"), F.col("place").alias("q"), F.col("n").alias("l"), F.col("bytes").alias(name))
+        same = (F.col(th) == F.col("h")) & (F.col(place) == F.col("q")) & (F.col("n") == F.col("l")) & F.col(doc).eqNullSafe(F.col("o"))
+        return rows.join(of.hint("merge"), same).drop("o", "h", "q", "l")
+
+    found = with_bytes(with_bytes(runs, "doc_id", "th", "place", "bytes"), "first_doc", "first_th", "first_place", "first_bytes")
+    found = found.filter(F.col("bytes") == F.col("first_bytes"))
+    marks = found.groupBy(F.col("doc_id").alias("did"), F.col("th").alias("dth")).agg(F.collect_set(F.struct("place", "n")).alias("places"))
     return cut(marks, f"{folder}/marks")
 
 
@@ -193,8 +205,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rest = [f.name for f in docs.schema.fields if f.name not in taken]
     inner = [F.col(f"`{name}`") for name in rest]
     base = docs.select(F.struct(*inner).alias("row"), F.col("doc_id").cast("long").alias("did"), F.col("text").cast("string").alias("text"))
-    marks = marks.withColumnRenamed("did", "mark_id")
-    joined = base.join(marks.hint("merge"), F.col("did").eqNullSafe(F.col("mark_id")), "left").select("row", "text", "places")
+    marks = marks.withColumnsRenamed({"did": "mark_id", "dth": "mark_th"})
+    own = (F.xxhash64("text") == F.col("mark_th")) & F.col("did").eqNullSafe(F.col("mark_id"))
+    joined = base.join(marks.hint("merge"), own, "left").select("row", "text", "places")
 
     def make():
         def step(batch):
