@@ -8,7 +8,9 @@ segments' q-grams; hits are counted in overlapping diagonal bands, each region l
 band; bands that reach the bound are verified by a bit-parallel alignment of the bytes the band covers. What passes is a
 region of the text that equals the segment up to the budget.
 
-Letters are compared after lower-casing A-Z. Items under Q bytes hold no q-gram and name nothing.
+Letters are compared after lower-casing A-Z. Items under Q bytes hold no q-gram; their exact places are
+found. An excerpt that holds no whole segment is found if the segment's unmatched rest is within the
+budget: of a long item, any excerpt of SEGMENT + STRIDE bytes is sure to be found, a shorter one may be.
 
 The benchmark's table is broadcast only up to MAX_BENCHMARK bytes of items; a larger benchmark is
 worked through in slices of that size, a pass over the documents each, and the matches united.
@@ -20,6 +22,8 @@ an empty benchmark leaves every document clean; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,6 +37,8 @@ Q, SEGMENT, STRIDE, EDIT_RATE = 8, 120, 60, 0.1
 MAX_BENCHMARK = 16 << 20
 #: Bytes of text looked at in one go, and the size of the first, approximate look-up table.
 BLOCK, TABLE_BITS = 1 << 20, 20
+#: Hits from which a block is searched in windows of WINDOW bytes, PART segments after PART.
+DENSE, WINDOW, PART = 1 << 20, 1024, 512
 
 
 def segments_of(item: bytes) -> list[bytes]:
@@ -103,11 +109,16 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         parts: dict[bytes, list[int]] = {}
         for item_id, text in items:
-            for segment in segments_of(text.encode().lower()):
+            raw = text.encode().lower()
+            for segment in segments_of(raw) if len(raw) >= Q else [raw] * bool(raw):
                 parts.setdefault(segment, []).append(item_id)
         self.segments = [*parts]
         self.items = [sorted(set(ids)) for ids in parts.values()]
-        self.budgets = np.array([budget_of(s) for s in self.segments], np.int64)
+        self.short: dict[int, dict[int, int]] = {}
+        for s, segment in enumerate(self.segments):
+            if len(segment) < Q:
+                self.short.setdefault(len(segment), {})[int.from_bytes(segment, "little")] = s
+        self.budgets = np.array([max(0, budget_of(s)) for s in self.segments], np.int64)
         self.bounds = np.array([len(s) // Q for s in self.segments], np.int64) - self.budgets
         grams, owners, places = [], [], []
         for s, segment in enumerate(self.segments):
@@ -119,6 +130,8 @@ class Index:
         sorted_grams = np.array(grams, np.uint64)[order]
         self.owners, self.places = np.array(owners, np.int64)[order], np.array(places, np.int64)[order]
         self.grams, self.first, self.counts = np.unique(sorted_grams, return_index=True, return_counts=True)
+        # occurrences by q-gram and segment, ascending, as the sort is stable
+        self.placed = np.repeat(np.arange(len(self.grams)), self.counts) * len(self.segments) + self.owners
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self._slot(self.grams)] = True
         self.width = 2 * int(self.budgets.max(initial=0)) + 1  # diagonals that a region's hits span
@@ -140,21 +153,21 @@ class Index:
         ok = self.grams[number] == found
         return at[ok], number[ok]
 
-    def regions(self, data: np.ndarray) -> list[tuple[int, int]]:
-        """(segment, first diagonal of a band) for bands that hold enough shared q-grams."""
-        if len(data) < Q or not self.segments:
-            return []
-        at, number = self.hits(data)
-        if not len(at):
+    def regions(self, size: int, at: np.ndarray, number: np.ndarray, part: int | None = None) -> list[tuple[int, int]]:
+        """(segment, first diagonal of a band) for bands that hold enough shared q-grams, of hits in
+        `size` bytes; for all segments, or for PART of them from `part` on."""
+        begin, times = self.first[number], self.counts[number]
+        if part is not None:
+            begin, end = (np.searchsorted(self.placed, number * len(self.segments) + s) for s in (part, min(part + PART, len(self.segments))))
+            times = end - begin
+        if not times.sum():
             return []
-        times = self.counts[number]
-        begin = self.first[number]
         ends = np.cumsum(times)
         entry = np.arange(ends[-1]) + np.repeat(begin - (ends - times), times)
         owner = self.owners[entry]
         diagonal = np.repeat(at, times) - self.places[entry] + SEGMENT  # never negative
         band = diagonal // self.width
-        bands = len(data) // self.width + SEGMENT // self.width + 3
+        bands = size // self.width + SEGMENT // self.width + 3
         key = np.concatenate([owner * bands + band, owner * bands + band - 1])  # bands of double width
         place = np.concatenate([self.places[entry]] * 2) // Q
         each = np.unique(key * (SEGMENT // Q) + place)  # a q-gram of the segment counts once a band
@@ -164,19 +177,67 @@ class Index:
 
     def search(self, data: bytes) -> list[tuple[int, int, int, int]]:
         """(segment, start, end, edits) of the verified regions of one lower-cased text."""
-        out = set()
+        out = set(self.short_places(data))
         raw = np.frombuffer(data, np.uint8)
+        memo: dict[tuple[int, bytes], tuple | None] = {}
         step = BLOCK - 2 * SEGMENT - 4 * self.width
         for begin in range(0, max(1, len(data)), step):  # blocks overlap by more than a region
-            for s, diagonal in self.regions(raw[begin : begin + BLOCK]):
-                segment, budget = self.segments[s], int(self.budgets[s])
-                low = max(0, begin + diagonal - budget)
-                high = begin + diagonal + 2 * self.width + len(segment) + budget
-                got = align(segment, data[low:high], budget)
-                if got:
-                    out.add((s, low + got[1], low + got[2], got[0]))
+            block = raw[begin : begin + BLOCK]
+            if len(block) < Q or not len(self.grams):
+                continue
+            at, number = self.hits(block)
+            if self.counts[number].sum() <= DENSE:
+                out.update(self._verified(data, begin, self.regions(len(block), at, number), memo))
+            else:
+                out.update(self._dense(data, begin, len(block), memo))
         return sorted(out)
 
+    def _verified(self, data: bytes, begin: int, regions: list[tuple[int, int]], memo: dict) -> Iterator[tuple[int, int, int, int]]:
+        """Regions that align; equal stretches of text are aligned with a segment once."""
+        for s, diagonal in regions:
+            segment, budget = self.segments[s], int(self.budgets[s])
+            low = max(0, begin + diagonal - budget)
+            window = data[low : begin + diagonal + 2 * self.width + len(segment) + budget]
+            key = (s, window)
+            if key not in memo:
+                if len(memo) >= 1 << 14:
+                    memo.clear()
+                memo[key] = align(segment, window, budget)
+            got = memo[key]
+            if got:
+                yield s, low + got[1], low + got[2], got[0]
+
+    def _dense(self, data: bytes, begin: int, size: int, memo: dict) -> Iterator[tuple[int, int, int, int]]:
+        """A block with very many hits (runs and repeats that the benchmark has too), in short windows
+        that overlap by more than a region. Equal windows are searched once, and q-grams that very many
+        segments have are looked at for some segments after another, so memory is bounded."""
+        seen: dict[bytes, list] = {}
+        end = min(begin + size, len(data))
+        for low in range(begin, end, WINDOW - 2 * SEGMENT - 4 * self.width):
+            window = data[low : min(low + WINDOW, end)]
+            if window not in seen:
+                found: set = set()
+                raw = np.frombuffer(window, np.uint8)
+                at, number = self.hits(raw) if len(raw) >= Q else (np.zeros(0, np.int64),) * 2
+                for part in range(0, len(self.segments), PART):
+                    found.update(self._verified(window, 0, self.regions(len(raw), at, number, part), memo))
+                seen[window] = sorted(found)
+            for s, a, b, edits in seen[window]:
+                yield s, low + a, low + b, edits
+
+    def short_places(self, data: bytes) -> Iterator[tuple[int, int, int, int]]:
+        """Exact places of the segments under Q bytes, which hold no q-gram."""
+        for length, keys in self.short.items():
+            raw = np.frombuffer(data, np.uint8)
+            n = len(raw) - length + 1
+            if n <= 0:
+                continue
+            grams = np.zeros(n, np.uint64)
+            for k in range(length):
+                grams |= raw[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+            for at in np.flatnonzero(np.isin(grams, np.fromiter(keys, np.uint64, len(keys)))).tolist():
+                yield keys[int(grams[at])], at, at + length, 0
+
 
 def slices(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     """The benchmark in parts whose size was checked; one part as a rule."""
@@ -199,8 +260,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in slices(benchmark):
         shared = spark.sparkContext.broadcast(items)  # at most MAX_BENCHMARK bytes of text
 
-        def make(shared=shared):
-            index = Index(shared.value)
+        def make(shared=shared, name=uuid.uuid4().hex):
+            index = _index(name, shared)
             place = {}
 
             def step(batch):
@@ -222,6 +283,17 @@ def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+_built: dict[str, Index] = {}
+
+
+def _index(name: str, shared) -> Index:
+    """A worker's index of a slice, built once; it holds one slice at a time."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Index(shared.value)
+    return _built[name]
+
+
 def describe(index: Index, raw: bytes) -> list[dict]:
     """Verified regions of one text by item, touching regions of an item joined."""
     regions = index.search(raw.lower())
