@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import cut, extended, map_arrow, table, text_or_empty, work_folder
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_TERMS = 2500, 5000, 1000
+#: States of the automaton (some kB each) a worker holds before it starts anew.
+MAX_STATES = 50_000
 #: A term stands in MIN_DOCS toxic documents and MIN_RATE of them at least; rarer words are chance.
 MIN_DOCS, MIN_RATE, MIN_PRECISION = 4, 0.005, 0.97
 THRESHOLD = 0.3
@@ -47,7 +49,15 @@ WORD = regex.compile(r"[\p{L}\p{N}@$*]+")
 #: Context words (fixed values of this model): reporting verbs and second-person words.
 REPORTING = frozenset("said says wrote called quoted quote reported claimed sagte schrieb nannte dit écrit dijo escribió llamó".split())
 ADDRESSING = frozenset("you your yours youre du dich dir dein deine ihr euch tu te toi vous votre usted vosotros eres".split())
-QUOTES = frozenset("\"“”„«»‘’'`")
+#: Marks that open and close quotations; an apostrophe closes only what a single mark has opened.
+OPENS, CLOSES = frozenset('"“„«»‹›‘`'), frozenset('"”“«»‹›`')
+
+
+def within_quotes(before: str, after: str) -> bool:
+    """Whether a mark opens a quotation before a word and one closes it after."""
+    if OPENS.isdisjoint(before):
+        return False
+    return not CLOSES.isdisjoint(after) or ("‘" in before and "’" in after)
 
 
 def held_out(doc_id):
@@ -91,12 +101,16 @@ class LexiconAutomaton:
                 self.budget[node] = max(self.budget[node], term.edits)
             self.ends[node].append(t)
         self.alphabet = {c for kids in self.children for c in kids}
+        self._clear()
+
+    def _clear(self) -> None:
+        """Forget all states; they are made again when asked for."""
         self.number: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.next: list[dict[str, int]] = []
         self.found: list[tuple[int, int] | None] = []
         self.stem: list[tuple[int, int] | None] = []
-        self.start = self._state({0: 0}) if terms else self.DEAD
+        self.start = self._state({0: 0}) if self.terms else self.DEAD
 
     def _state(self, edits: dict[int, int]) -> int:
         todo = [*edits.items()]
@@ -134,6 +148,8 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the closest term within its edit budget, or None."""
+        if len(self.states) > MAX_STATES:
+            self._clear()
         state = self.start
         if state < 0:
             return None
@@ -152,6 +168,18 @@ class LexiconAutomaton:
         return self.found[state]
 
 
+_built: dict[tuple[Term, ...], LexiconAutomaton] = {}
+
+
+def automaton_of(terms: list[Term]) -> LexiconAutomaton:
+    """A worker's automaton of a lexicon, kept for its later tasks; it holds one lexicon at a time."""
+    key = tuple(terms)
+    if key not in _built:
+        _built.clear()
+        _built[key] = LexiconAutomaton(terms)
+    return _built[key]
+
+
 # --- features --------------------------------------------------------------------------------
 
 FEATURES = 5
@@ -172,8 +200,7 @@ def document_features(text: str, automaton: LexiconAutomaton) -> list[float]:
         around = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
         before = text[spans[max(0, i - WINDOW)][0] : spans[i][0]]
         after = text[spans[i][1] : spans[min(len(spans) - 1, i + WINDOW)][1]]
-        inside = any(c in QUOTES and c != "'" for c in before) and any(c in QUOTES and c != "'" for c in after)
-        if inside or not REPORTING.isdisjoint(around):
+        if within_quotes(before, after) or not REPORTING.isdisjoint(around):
             quoted += weight
         elif got[1]:
             misspelled += weight
@@ -205,7 +232,7 @@ def batch_features(texts: pa.Array, automaton: LexiconAutomaton) -> np.ndarray:
 
 def _items(text: str) -> set[str]:
     """Words and, marked by *, their beginnings of 4 to 6 letters."""
-    words = {w for w in WORD.findall(text.lower()) if 4 <= len(w) <= 30}
+    words = {w for w in WORD.findall(text.lower()) if len(w) > 2}
     return words | {f"{w[:k]}*" for w in words for k in (4, 5, 6) if len(w) > k}
 
 
@@ -307,14 +334,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Model([], None)
-    first = _item_counts(sample.filter("label = 1"), None).filter(F.col("docs") >= MIN_DOCS)
-    wanted = frozenset(r.item for r in first.orderBy(F.desc("docs"), "item").limit(50_000).collect())
+    # what choose_terms asks of an item's toxic documents; the sample's size bounds how many there are
+    first = _item_counts(sample.filter("label = 1"), None).filter((F.col("docs") >= MIN_DOCS) & (F.col("docs") >= MIN_RATE * toxic))
+    wanted = frozenset(r.item for r in first.select("item").collect())
     counts = _item_counts(sample, wanted)
     terms = choose_terms([(r.item, r.docs, r.toxic_docs) for r in counts.collect()], toxic, clean)
     totals = {int(r.label): r["count"] for r in known.groupBy("label").count().collect()}
 
     def make():
-        automaton = LexiconAutomaton(terms)
+        automaton = automaton_of(terms)
 
         def step(batch):
             x = batch_features(batch.column(0), automaton)
@@ -335,7 +363,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     terms = model.terms
 
     def make():
-        automaton = LexiconAutomaton(terms)
+        automaton = automaton_of(terms)
 
         def step(batch):
             texts = batch.column(batch.schema.get_field_index(text)).fill_null("")
