@@ -5,7 +5,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -64,25 +66,64 @@ def test_token_files(spark, docs, tmp_path):
     assert repair.read_shards(repair.write_shards(docs.limit(0), path, str(tmp_path / "y"))).count() == 0
 
 
+CLAUSE = regex.compile(merkle.CLAUSE)
+
+
+def brute_tree(text):
+    return [tuple(tuple(CLAUSE.findall(p)) for p in s.split("\n")) for s in text.split("\n\n")]
+
+
+def brute_likeness(a, b):
+    """The share of distinct clauses that lie under sections, paragraphs or clauses of both texts."""
+
+    def unlike(x, y):
+        sections = [s for s in x if s not in y]
+        paragraphs = [p for s in sections for p in s if p not in {p for s in y for p in s}]
+        return len({c for p in paragraphs for c in p} - {c for s in y for p in s for c in p})
+
+    x, y = brute_tree(a), brute_tree(b)
+    total = sum(len({c for s in t for p in s for c in p}) for t in (x, y))
+    return 1 - (unlike(x, y) + unlike(y, x)) / total if total else 1.0
+
+
 @pytest.mark.parametrize("shards", [1, 5, 700])
 def test_edit_fingerprints(docs, shards):
     rows = merkle.edit_fingerprints(docs, shards).orderBy("doc_id").collect()
     pairs = [(i, t or "") for i, t in corpus()]
     for k, ((doc_id, text), row) in enumerate(zip(pairs, rows, strict=True)):
-        half = len(text) // 2
-        edited = text[: len(text) - half] + pairs[(k + 1) % len(pairs)][1][:half]
+        half, after = len(text) // 2, pairs[(k + 1) % len(pairs)][1]
+        edited = text[: len(text) - half] + after[:half]
         assert (row.doc_id, row.n_chars, row.edited_sha256) == (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= row.near_edited <= 1 and 0 <= row.near_next <= 1
+        assert row.near_edited == pytest.approx(brute_likeness(text, edited)) and row.near_next == pytest.approx(brute_likeness(text, after))
     by_text = {}
     for (_, text), row in zip(pairs, rows):
         by_text.setdefault(text, set()).add(row.fingerprint)
     assert all(len(f) == 1 for f in by_text.values()) and len(set().union(*by_text.values())) == len(by_text)
 
 
+def test_edits_without_ids(make_docs):
+    """Null and shared ids: an order by a hash of the text, a cycle over all rows; any script has leaves."""
+    texts = ["日本語の文章がここにあり続ける" * 20, "", "x" * 500, "a b c. d e f.", "\n\n\n", "日" * 300]
+    pairs = [(None, t) for t in texts] + [(7, t) for t in texts] + [(9, "end")]
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) ^ 1 << 63) - (1 << 63)
+    order = sorted(pairs, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
+    expected = []
+    for k, (doc_id, text) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        expected.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), round(brute_likeness(text, edited), 9)))
+    for shards in (1, 40):
+        got = [(r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9)) for r in merkle.edit_fingerprints(make_docs(pairs), shards).collect()]
+        assert sorted(got, key=repr) == sorted(expected, key=repr)
+    assert merkle.edit_fingerprints(make_docs([]), 3).count() == 0
+
+
 def test_first_difference(spark):
-    text = lambda c: merkle.fingerprint(merkle.tree(F.lit(c)), merkle.clause_hashes(F.lit(c)))
-    at = lambda a, b: spark.range(1).select(merkle.first_difference(text(a), text(b))).first()[0]
-    assert at("a\n\nb\n\nc", "a\n\nX\n\nc") == 2 and at("a\n\nb", "a\n\nb") is None
+    texts = [("a\n\nb\nc\n\nd", "a\n\nb\nx\n\nd"), ("a", "a"), ("a", "a\n\nb"), ("", "z")]
+    df = spark.createDataFrame(texts, "a string, b string")
+    prints = [merkle.fingerprint(merkle.tree(F.col(c)), F.col(c)) for c in "ab"]
+    got = [r[0] and tuple(r[0]) for r in df.select(merkle.first_difference(*prints)).collect()]
+    assert got == [(2, 3), None, (2, 2), (1, 1)]
 
 
 def brute_simhash(text):
@@ -277,7 +318,7 @@ def brute_repeats(pairs, length=suffixes.LENGTH):
     return out
 
 
-@pytest.mark.parametrize("case", ["corpus", "fragments", "same_ids"])
+@pytest.mark.parametrize("case", ["corpus", "fragments", "same_ids", "hot", "blocks", "runs"])
 def test_long_repeats(make_docs, tmp_path, monkeypatch, case):
     r = random.Random(9)
     bits = ["".join(r.choice("ab ") for _ in range(r.randint(5, 90))) for _ in range(30)]
@@ -287,10 +328,37 @@ def test_long_repeats(make_docs, tmp_path, monkeypatch, case):
         monkeypatch.setattr(suffixes, "BUCKET_BYTES", 2000)
         pairs = [(r.randint(0, 50) if case == "same_ids" else i, "é".join(r.choice(bits) for _ in range(r.randint(0, 6)))) for i in range(70)]
         pairs.append((None, pairs[5][1]))
+    if case == "hot":  # every other anchor gram; units of a few documents
+        grams = np.unique(np.concatenate([g for _, t in pairs for g, _, _ in suffixes.segments(t.encode())]))[::2]
+        monkeypatch.setattr(suffixes, "hot_groups", lambda docs, size: grams)
+        monkeypatch.setattr(suffixes, "UNIT_BYTES", 700)
+    if case == "blocks":
+        monkeypatch.setattr(suffixes, "BLOCK", 40)
+        texts = [t.encode() for _, t in pairs]
+        whole = [[(raw[a : a + n + suffixes.LENGTH - 1]) for _, f, c in suffixes.segments(raw) for a, n in zip(f.tolist(), c.tolist())] for raw in texts]
+        assert all(sum(len(x) - suffixes.LENGTH + 1 for x in w) == max(0, len(t) - suffixes.LENGTH + 1) for w, t in zip(whole, texts))
+    if case == "runs":  # runs of a letter and of a period, in copies of several lengths
+        pairs = [(i, r.choice(["z" * r.randint(40, 400), "xy" * r.randint(20, 90), "abc" * 30 + "z" * 70]) + bits[i % 5]) for i in range(40)]
     df = on_disk(make_docs(pairs), tmp_path)
     assert {tuple(x) for x in suffixes.remove_repeats(df).withColumn("kept", F.col("kept").cast("binary")).collect()} == brute_repeats(pairs)
 
 
+def test_a_hot_key_reaches_its_bucket_once_a_unit():
+    dealer = suffixes.Dealer(7)
+    for doc in range(1000):
+        one = np.ones(1, np.int64)
+        dealer.put(one * 3, groups=one.astype(np.uint32), keys=one.astype(np.uint64), docs=one * doc, rids=one * 0, firsts=one * 5, sizes=one * 2)
+    rows = pa.Table.from_batches(dealer.flush()).to_pylist()
+    assert {r["bucket"] >= 0: len(r["docs"]) // 8 for r in rows} == {True: 1, False: 999}
+
+
+def test_hot_groups(make_docs):
+    common = "the same passage of more than fifty bytes in all of them, word by word"
+    docs = make_docs([(i, f"{i * 7919:x} " * 9 + common) for i in range(200)])
+    grams = {int(g) for x, _, _ in suffixes.segments(common.encode()) for g in x}
+    assert grams & {int(g) for g in suffixes.hot_groups(docs, 1000)} and len(suffixes.hot_groups(docs.limit(0), 0)) == 0
+
+
 def test_no_rows_no_repeats(make_docs):
     assert suffixes.remove_repeats(make_docs([])).count() == 0
 
@@ -304,12 +372,45 @@ def test_quotes(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     found = {(r.conv_id, r.turn): (r.parent_turn, r.thread_turn, r.n_quotes, r.n_linked, r.text) for r in quotes.link_quotes(df).collect()}
     assert found == {
-        (1, 0): (None, 0, 0, 0, rows[0][3]), (1, 1): (0, 0, 1, 1, "Fine."), (1, 2): (1, 0, 2, 2, "Great"), (1, 3): (None, 3, 1, 0, "ok"),
-        (1, 700): (0, 0, 1, 1, "late"), (2, 0): (None, 0, 1, 0, "x"), (None, 1): (None, 1, 1, 0, ""), (1, None): (None, None, 0, 0, ""),
+        (1, 0): (None, 0, 0, 0, rows[0][3]), (1, 1): (0, 0, 1, 1, "Fine."), (1, 2): (1, 0, 2, 2, "Great"), (1, 3): (None, 3, 1, 0, rows[3][3]),
+        (1, 700): (0, 0, 1, 1, "late"), (2, 0): (None, 0, 1, 0, rows[5][3]), (None, 1): (None, 1, 1, 0, "> a"), (1, None): (None, None, 0, 0, ""),
     }
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def test_unlinked_passages_stay(spark):
+    """Code, patches and quotes of what nobody said are no quotations; linked ones beside them go."""
+    repl = "look:\n>>> print(1)\n> said before\n1\n> not said\nok"
+    rows = [(1, 0, "u", "said before"), (1, 1, "u", repl), (1, 1, "u", "> other\n> said before")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = sorted(r.text for r in quotes.link_quotes(df).collect())
+    assert found == sorted(["said before", "look:\n>>> print(1)\n1\n> not said\nok", ""])
+
+
+def test_planted_quotes(spark):
+    """Each quotation of an earlier turn, re-wrapped, in other case and at any level, is linked."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows, parents = [], {}
+    for conv in range(20):
+        said = []
+        for turn in range(30):
+            own, text = " ".join(word() for _ in range(r.randint(4, 20))), []
+            parents[conv, turn] = None
+            if said and r.random() < 0.5:
+                k = r.randrange(len(said))
+                parents[conv, turn] = k
+                mark = "> " if r.random() < 0.5 else ">"
+                words = said[k].upper().split() if r.random() < 0.3 else said[k].split()
+                cut = r.randint(1, len(words))
+                text = [mark + " ".join(words[:cut])] + [mark + " ".join(words[cut:])] * (cut < len(words))
+            rows.append((conv, turn, "u", "\n".join([*text, own])))
+            said.append(own)
+    found = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(x.conv_id, x.turn): x.parent_turn for x in found} == parents
+    assert all(">" not in x.text for x in found)
+
+
 def test_long_thread(spark):
     """Quotes over many blocks of turns link to the latest turn that has the line, as a scan does."""
     r = random.Random(11)

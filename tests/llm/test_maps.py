@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -126,6 +127,21 @@ def test_lexicon_automaton_equals_distances():
     assert stem.match("loweischaft") == (0, 0) and stem.match("lowaischaft") is None
 
 
+def test_quotation_marks():
+    inside = toxicity.within_quotes
+    assert not inside("don’t be a ", ", it’s bad") and not inside("don't be a ", ", it's bad") and not inside("", "” he said")
+    assert inside("he said “you ", "” and") and inside("‘a ", "’ and") and inside('"', '"') and inside("« ", " »") and not inside("“a ", "’s")
+
+
+def test_automaton_starts_anew(monkeypatch):
+    terms = [toxicity.Term(t, 1.0, False) for t in ("worthless", "disgusting", "scummy")]
+    words = ["".join(random.Random(k).sample("worthlesdigun", 9)) for k in range(500)] + ["worthlss", "disgustng", "scumy"]
+    expected = [toxicity.LexiconAutomaton(terms).match(w) for w in words]
+    monkeypatch.setattr(toxicity, "MAX_STATES", 5)
+    automaton = toxicity.LexiconAutomaton(terms)
+    assert [automaton.match(w) for w in words] == expected and expected[-1] == (2, 1) and len(automaton.states) < 40
+
+
 def test_toxicity_on_unseen_rows(spark, make_docs):
     r = random.Random(5)
     filler = "der the of and quiet river stone walks under light morning paper".split()
@@ -185,3 +201,47 @@ def test_planted_passages(spark, make_docs):
     assert not any(hits[i] for i in hits if i not in planted)
     empty = decontam.find_matches(make_docs(pairs), spark.createDataFrame([], "item_id long, text string"))
     assert empty.filter("size(matches) > 0").count() == 0
+
+
+def test_all_regions(monkeypatch):
+    """The items named are those that a search of every place for every segment finds, dense or not."""
+    r = random.Random(12)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    items = [(k, text(n)) for k, n in enumerate([9, 20, 64, 100, 119, 120, 121, 180, 300])] + [(20, "a" * 130), (21, "short"), (22, "xyz")]
+    index = decontam.Index(items)
+    docs = []
+    for _ in range(60):
+        part = r.choice(items)[1]
+        at = r.randint(0, len(part) // 3)
+        part = [*part[at : at + r.randint(10, 200)]]
+        for _ in range(r.randint(0, 8)):
+            part[r.randrange(len(part))] = r.choice(["", "q", "ab"])
+        docs.append(text(r.randint(0, 80)) + "".join(part) + text(r.randint(0, 80)) + r.choice(["", "short", "xy", "xyz"]))
+    docs += ["a" * 700, "a" * 125 + "b" * 20, "", "abc", "xyz"]
+
+    def brute(doc):
+        return {
+            item for item, t in items for s in (decontam.segments_of(t.encode()) if len(t) >= decontam.Q else [t.encode()])
+            if best_cost(s, doc.encode()) <= max(0, decontam.budget_of(s))
+        }
+
+    def found(doc):
+        return {x["item_id"] for x in decontam.describe(index, doc.encode())}
+
+    expected = [brute(d) for d in docs]
+    assert [found(d) for d in docs] == expected and sum(map(bool, expected)) > 15
+    long = "".join(d + text(60) for d in docs)
+    whole = found(long)
+    for dense, block in ((0, 1 << 20), (1 << 20, 900), (0, 900)):  # windows of dense blocks; many blocks
+        monkeypatch.setattr(decontam, "DENSE", dense)
+        monkeypatch.setattr(decontam, "BLOCK", block)
+        assert [found(d) for d in docs] == expected and found(long) == whole == set().union(*expected)
+
+
+def test_common_runs_take_no_time():
+    r = random.Random(1)
+    text = lambda: "".join(r.choice("abcdefgh ") for _ in range(80))
+    index = decontam.Index([(k, text() + "a" * 100 + text()) for k in range(40)])
+    began = time.perf_counter()
+    index.search(b"a" * 8000)
+    assert time.perf_counter() - began < 3  # 20 s if each place met each segment
