@@ -34,14 +34,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, input_bytes, map_arrow, table, text_or_empty, work_folder
+from .common import batches_of, cut, input_bytes, map_arrow, table, text_or_empty, work_folder
 
 LENGTH, K = 50, 24
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 1 << 20
 #: Bytes of text a map task gathers before it deals their entries to buckets; entries of a batch.
 UNIT_BYTES, BATCH = 8 << 20, 1 << 16
-BUCKETS_A_TASK = 4
+BUCKETS_A_TASK = 8
 BLOCK = 1 << 22  # strings of one document looked at together
+#: Share of a sample (of about SAMPLE_BYTES of input) from which an anchor gram is hot, and the group
+#: of its entries, which are dealt by key and all looked at in the second pass.
+HOT_SHARE, SAMPLE_BYTES, HOT = 1 << 12, 4 << 20, np.uint32(0xFFFFFFFF)
+#: Neighbouring segments of at most 27 strings that one entry may stand for.
+MERGED = 2000
 NULL_ID = -(1 << 63)
 _INDEX = np.uint64((1 << 24) - 1)
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -180,26 +185,35 @@ def ordered_batches(doc: np.ndarray) -> Iterator[np.ndarray]:
 # --- passes ----------------------------------------------------------------------------------
 
 #: Entries of a bucket from one map unit, as packed arrays (fixed widths, little-endian).
-WIDTHS = {"groups": "<u4", "keys": "<u8", "docs": "<i8", "rids": "<i8", "firsts": "<u4", "sizes": "<u1"}
+WIDTHS = {"groups": "<u4", "keys": "<u8", "docs": "<i8", "rids": "<i8", "firsts": "<u4", "sizes": "<u2"}
 BLOBS = "bucket int, " + ", ".join(f"{k} binary" for k in WIDTHS)
 
 
 class Dealer:
-    """Gathers entries of a map task and deals them to buckets in packed rows."""
+    """Gathers entries of a map task and deals them to buckets in packed rows, a unit after another.
+
+    Within a unit, an entry whose key an earlier document of the unit has is a repeat already: it
+    goes aside, in a row of the unit's own that no bucket has to look at. So a key that very many
+    documents have reaches its bucket once a unit.
+    """
 
     def __init__(self, buckets: int):
         self.buckets, self.parts, self.bytes = buckets, [], 0
 
     def put(self, bucket: np.ndarray, **entries: np.ndarray) -> None:
+        """Entries of one document in text order; neighbours that touch and have one key become one
+        entry, of MERGED neighbours at most."""
+        key = entries["keys"]
+        if (key[1:] == key[:-1]).any():
+            begins = np.concatenate([[True], (key[1:] != key[:-1]) | (entries["firsts"][1:] != entries["firsts"][:-1] + entries["sizes"][:-1])])
+            begins[::MERGED] = True
+            first = np.flatnonzero(begins)
+            sizes = np.add.reduceat(entries["sizes"], first)
+            bucket, entries = bucket[first], {k: v[first] for k, v in entries.items()} | {"sizes": sizes}
         self.parts.append({"bucket": bucket, **entries})
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.parts:
-            return
-        whole = {k: np.concatenate([p[k] for p in self.parts]) for k in self.parts[0]}
-        self.parts, self.bytes = [], 0
-        order = np.argsort(whole["bucket"], kind="stable")
-        bucket = whole["bucket"][order]
+    def _rows(self, whole: dict[str, np.ndarray], bucket: np.ndarray, order: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bucket = bucket[order]
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
         ends = np.append(first[1:], len(bucket))
         arrays = [pa.array(bucket[first], pa.int32())]
@@ -210,6 +224,25 @@ class Dealer:
         for at in range(0, batch.num_rows, 256):
             yield batch.slice(at, 256)
 
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        whole = {k: np.concatenate([p[k] for p in self.parts]) for k in self.parts[0]}
+        self.parts, self.bytes = [], 0
+        if not len(whole["keys"]):
+            return
+        # equal keys are in one bucket, as they begin with one anchor gram
+        order = np.argsort(whole["keys"])
+        key, doc = whole["keys"][order], whole["docs"][order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        later = np.zeros(len(key), bool)
+        later[order] = doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(doc))))
+        own = np.flatnonzero(~later)
+        yield from self._rows(whole, whole["bucket"], own[np.argsort(whole["bucket"][own], kind="stable")])
+        if later.any():
+            seed = int(whole["keys"][0]) % self.buckets  # the unit's own place, the same if it runs again
+            yield from self._rows(whole, np.full(len(doc), -1 - seed, np.int64), np.flatnonzero(later))
+
 
 def _rid(text: bytes, distinct: bool) -> int:
     """Tells apart texts of one doc_id, where doc_ids are not unique; else 0."""
@@ -219,12 +252,33 @@ def _rid(text: bytes, distinct: bool) -> int:
     return digest - (1 << 64) if digest >> 63 else digest
 
 
-def deal_segments(docs: DataFrame, buckets: int, distinct: bool) -> DataFrame:
-    """First pass, map side: all segments of all documents, packed by bucket of the anchor gram."""
+def hot_groups(docs: DataFrame, size: int) -> np.ndarray:
+    """Anchor grams that make up 1 in HOT_SHARE of a sample's segments, or more: at most HOT_SHARE
+    numbers. What is hot decides only how entries are dealt, so a sample will do."""
+    one_in = max(1, size // SAMPLE_BYTES)
+    sample = docs.filter(F.pmod(F.xxhash64("text", "doc_id"), F.lit(one_in)) == 0)
+
+    def make():
+        def step(batch):
+            found = [g for text in batch.column(1).cast(pa.binary()) for g, _, _ in segments(text.as_buffer().to_pybytes())]
+            grams, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts, pa.int64())], names=["gram", "n"])
+
+        return step
+
+    counted = map_arrow(sample, make, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    rows = counted.filter(F.col("n") >= max(64, total // HOT_SHARE)).select("gram").collect()
+    return np.sort(np.array([r.gram for r in rows], np.int64).view(np.uint64))
+
+
+def deal_segments(docs: DataFrame, buckets: int, distinct: bool, hot: np.ndarray) -> DataFrame:
+    """First pass, map side: all segments of all documents, packed by bucket of the anchor gram, or
+    of the segment where the gram is hot."""
 
     def run(batches):
         dealer = Dealer(buckets)
-        for batch in batches:
+        for batch in batches_of(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
                 raw = text.as_buffer().to_pybytes()
                 rid = _rid(raw, distinct)
@@ -233,11 +287,14 @@ def deal_segments(docs: DataFrame, buckets: int, distinct: bool) -> DataFrame:
                     keys = np.fromiter(
                         (xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), last.tolist())), np.uint64, len(first)
                     )
-                    bucket = ((grams >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                    spread, group = grams >> np.uint64(32), (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    if len(hot):
+                        is_hot = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+                        spread, group = np.where(is_hot, keys >> np.uint64(32), spread), np.where(is_hot, HOT, group)
                     doc = np.full(len(first), NULL_ID if doc_id is None else doc_id, np.int64)
                     dealer.put(
-                        bucket, groups=(grams & np.uint64(0xFFFFFFFF)).astype(np.uint32), keys=keys, docs=doc,
-                        rids=np.full(len(first), rid), firsts=first.astype(np.uint32), sizes=count.astype(np.uint8),
+                        (spread % np.uint64(buckets)).astype(np.int64), groups=group, keys=keys, docs=doc,
+                        rids=np.full(len(first), rid), firsts=first.astype(np.int64), sizes=count.astype(np.int64),
                     )
                 dealer.bytes += len(raw)
                 if dealer.bytes >= UNIT_BYTES:
@@ -252,7 +309,7 @@ def deal_strings(found: DataFrame, buckets: int, distinct: bool) -> DataFrame:
 
     def run(batches):
         dealer = Dealer(buckets)
-        for batch in batches:
+        for batch in batches_of(batches):
             for doc_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
                 raw = text.as_buffer().to_pybytes()
                 starts = sorted({a + k for a, n in ((x["first"], x["size"]) for x in wanted) for k in range(n)})
@@ -261,9 +318,9 @@ def deal_strings(found: DataFrame, buckets: int, distinct: bool) -> DataFrame:
                 bucket = np.fromiter(((h >> 64) % buckets for h in hashes), np.int64, len(hashes))
                 doc = np.full(len(starts), NULL_ID if doc_id is None else doc_id, np.int64)
                 dealer.put(
-                    bucket, groups=(keys >> np.uint64(32)).astype(np.uint32), keys=keys, docs=doc,
-                    rids=np.full(len(starts), _rid(raw, distinct)), firsts=np.array(starts, np.uint32),
-                    sizes=np.ones(len(starts), np.uint8),
+                    bucket, groups=np.zeros(len(starts), np.uint32), keys=keys, docs=doc,
+                    rids=np.full(len(starts), _rid(raw, distinct)), firsts=np.array(starts, np.int64),
+                    sizes=np.ones(len(starts), np.int64),
                 )
                 dealer.bytes += 16 * len(starts)
                 if dealer.bytes >= UNIT_BYTES:
@@ -276,15 +333,19 @@ def deal_strings(found: DataFrame, buckets: int, distinct: bool) -> DataFrame:
 RANGES = "doc_id long, rid long, first long, size int, whole boolean"
 
 
-def scan_buckets(blobs: DataFrame, buckets: int) -> DataFrame:
+def scan_buckets(blobs: DataFrame, buckets: int, grouped: bool = True) -> DataFrame:
     """Reduce side of both passes: whole=true where the entry repeats an earlier document's; false
-    where only its group was met, be it before or after it."""
+    where only its group was met, be it before or after it. Single strings come without groups."""
 
     def run(batches):
         held: dict[str, list[bytes]] = {k: [] for k in WIDTHS}
         at = None
         for batch in batches:
             for k, bucket in enumerate(batch.column(0).to_pylist()):
+                if bucket < 0:
+                    x = {n: np.frombuffer(batch.column(j)[k].as_py(), WIDTHS[n]) for j, n in enumerate(WIDTHS, 1)}
+                    yield from ranges(x, np.arange(len(x["docs"])), np.ones(len(x["docs"]), bool))
+                    continue
                 if at is not None and bucket != at:
                     yield from scan(held)
                     held = {n: [] for n in WIDTHS}
@@ -297,6 +358,8 @@ def scan_buckets(blobs: DataFrame, buckets: int) -> DataFrame:
     def scan(held):
         x = {name: np.frombuffer(b"".join(parts), WIDTHS[name]) for name, parts in held.items()}
         held.clear()
+        if not grouped:
+            x["groups"] = (x["keys"] >> np.uint64(32)).astype(np.uint32)
         family = IndexFamily()
         again = np.zeros(len(x["docs"]), bool)
         asked = np.zeros(len(x["docs"]), bool)
@@ -304,8 +367,14 @@ def scan_buckets(blobs: DataFrame, buckets: int) -> DataFrame:
             repeat, met = family.add(x["groups"][rows], x["keys"][rows], x["docs"][rows], rows)
             again[rows] = repeat
             asked[rows] = met & ~repeat
+        if not grouped:
+            yield from ranges(x, np.flatnonzero(again), again)
+            return
         asked[family.marked()] = True
-        out = np.flatnonzero(again | asked)
+        asked |= (x["groups"] == HOT) & ~again  # a hot group has come elsewhere
+        yield from ranges(x, np.flatnonzero(again | asked), again)
+
+    def ranges(x, out, again):
         for at in range(0, len(out), 50_000):
             o = out[at : at + 50_000]
             doc = x["docs"][o]
@@ -322,32 +391,23 @@ def scan_buckets(blobs: DataFrame, buckets: int) -> DataFrame:
     return dealt.mapInArrow(run, RANGES)
 
 
-def by_document(docs: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
-    """doc_id, text and the document's ranges; a document's ranges are bounded by its length."""
-    listed = ranges.groupBy(F.col("doc_id").alias("of")).agg(
-        F.collect_list(F.struct("rid", "first", "size")).alias("ranges")
-    )
-    return docs.join(listed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")), how).select("doc_id", "text", "ranges")
-
-
-def own_ranges(found: DataFrame, distinct: bool) -> DataFrame:
-    """Where doc_ids aren't unique, only the ranges of the row's own text."""
-    if not distinct:
-        return found
-    own = F.xxhash64("text")
-    return found.select("doc_id", "text", F.filter("ranges", lambda r: r["rid"] == own).alias("ranges"))
+def by_document(docs: DataFrame, ranges: DataFrame, how: str, distinct: bool) -> DataFrame:
+    """doc_id, text and the row's ranges, which its length bounds; where doc_ids aren't unique, rows
+    are told apart by a hash of their text."""
+    listed = ranges.groupBy(F.col("doc_id").alias("of"), "rid").agg(F.collect_list(F.struct("first", "size")).alias("ranges"))
+    rows = docs.withColumn("own", F.xxhash64("text") if distinct else F.lit(0).cast("long"))
+    same = (F.col("own") == F.col("rid")) & F.col("doc_id").eqNullSafe(F.col("of"))
+    return rows.join(listed.hint("merge"), same, how).select("doc_id", "text", "ranges")
 
 
 def find_repeats(docs: DataFrame, folder: str) -> tuple[DataFrame, bool]:
     """doc_id, rid, first, size of the runs of strings to remove; whether rids are in use."""
-    # rows of packed entries are large, so batches to Python are bounded by bytes
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     size = input_bytes(docs)
     buckets = max(1, -(-size // BUCKET_BYTES))
     distinct = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    first = cut(scan_buckets(deal_segments(docs, buckets, distinct), buckets), f"{folder}/segments")
-    open_segments = own_ranges(by_document(docs, first.filter("not whole"), "inner"), distinct)
-    strings = scan_buckets(deal_strings(open_segments, buckets, distinct), buckets).filter("whole")
+    first = cut(scan_buckets(deal_segments(docs, buckets, distinct, hot_groups(docs, size)), buckets), f"{folder}/segments")
+    open_segments = by_document(docs, first.filter("not whole"), "inner", distinct)
+    strings = scan_buckets(deal_strings(open_segments, buckets, distinct), buckets, grouped=False)
     second = cut(strings, f"{folder}/strings")
     return first.filter("whole").unionByName(second).select("doc_id", "rid", "first", "size"), distinct
 
@@ -356,7 +416,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     ranges, distinct = find_repeats(rows, work_folder(docs.sparkSession))
-    found = own_ranges(by_document(rows, ranges, "left"), distinct)
+    found = by_document(rows, ranges, "left", distinct)
 
     def make():
         def step(batch):
@@ -364,8 +424,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             lists = batch.column(2)
             flat, offsets = lists.flatten(), lists.offsets.to_numpy()
             offsets = offsets - offsets[0]
-            firsts = flat.field(1).to_numpy().astype(np.int64)
-            sizes = flat.field(2).to_numpy().astype(np.int64)
+            firsts = flat.field(0).to_numpy().astype(np.int64)
+            sizes = flat.field(1).to_numpy().astype(np.int64)
             for k, text in enumerate(batch.column(1).cast(pa.binary())):
                 raw = text.as_buffer().to_pybytes()
                 a, b = int(offsets[k]), int(offsets[k + 1])
