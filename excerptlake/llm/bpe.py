@@ -39,8 +39,8 @@ _WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{2
 #: A blank between white space, or last after white space: cutting there would split a piece.
 UNSAFE = f"{_WS} (?:{_WS}|$)"
 #: Pieces in each of a worker's two cache generations; a full young one replaces the old one,
-#: so the cache's memory is fixed (about 200 bytes a piece).
-CACHE = 400_000
+#: so the cache's memory is fixed (about 250 bytes a piece, some 100 MB a worker).
+CACHE = 200_000
 LONG_PIECE = 60
 
 

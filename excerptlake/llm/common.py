@@ -27,26 +27,36 @@ def work_folder(spark: SparkSession) -> str:
     return session.work_folder(ship(spark))
 
 
+#: Settings while an intermediate result is written: shuffle files of the execution are removed at
+#: its end, and batches to Python hold few bytes.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": str(2 * ROWS_PER_BATCH),
+}
+
+
 def cut(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     """Write df to path in the shared folder and read it back: lineage ends there.
 
-    The shuffle files of this execution are removed at its end, so an operator that works in
-    several such steps holds one step's shuffle on disk, not the sum of them.
+    An operator that works in several such steps holds one step's shuffle on disk, not the sum of
+    them. The session's own settings are as before afterwards.
     """
     spark = df.sparkSession
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    before = {key: spark.conf.get(key, None) for key in WRITING}
+    for key, value in WRITING.items():
+        spark.conf.set(key, value)
     try:
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -82,6 +92,7 @@ def map_arrow(
                 yield out
             else:
                 yield from out
+        pa.default_memory_pool().release_unused()  # workers stay for other operators' tasks
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
