@@ -39,8 +39,8 @@ _WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{2
 #: A blank between white space, or last after white space: cutting there would split a piece.
 UNSAFE = f"{_WS} (?:{_WS}|$)"
 #: Pieces in each of a worker's two cache generations; a full young one replaces the old one,
-#: so the cache's memory is fixed (about 250 bytes a piece, some 100 MB a worker).
-CACHE = 200_000
+#: so the cache's memory is fixed (about 250 bytes a piece, some 200 MB a worker).
+CACHE = 400_000
 LONG_PIECE = 60
 
 
@@ -113,7 +113,8 @@ def merge_pairs(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int
 class ByteBpe:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocab = spec["model"]["vocab"]
@@ -145,7 +146,7 @@ class ByteBpe:
                 ids = self.byte_ids
                 got = tuple(merge_pairs([ids[b] for b in piece.encode()], self.merges))
             if len(piece) <= LONG_PIECE:
-                if len(self.young) >= CACHE:
+                if len(self.young) >= self.cache:
                     self.old, self.young = self.young, {}
                 self.young[piece] = got
         return got
@@ -211,8 +212,8 @@ def gather(pool: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> tuple[np
 
 
 @lru_cache(2)
-def load(path: str) -> ByteBpe:
-    return ByteBpe(path)
+def load(path: str, cache: int = CACHE) -> ByteBpe:
+    return ByteBpe(path, cache)
 
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -246,11 +247,11 @@ def join_bytes(bpe: ByteBpe, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]
     return [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+def digests(docs: DataFrame, path: str, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text and, if wanted, its ids."""
 
     def make():
-        bpe = load(path)
+        bpe = load(path, cache)
         names = pa.array(bpe.decimals, pa.large_string())
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
