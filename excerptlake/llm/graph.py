@@ -3,7 +3,8 @@
 Each round replaces links by links to smaller nodes and keeps components; it ends when a round
 changes nothing, after a number of rounds logarithmic in a component's size. Every round is
 written to the shared folder, so lineage stays short and a lost executor costs one round at most.
-No neighbourhood is gathered: each star takes a minimum (pre-aggregated) and a join to it.
+No neighbourhood is gathered: each star takes a minimum (pre-aggregated) and a join to it, by merging:
+tables of links and minima grow with the input, so none of them is gathered on the driver.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ from .common import cut
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-    joined = both.join(least, "src").filter("dst > src")
+    joined = both.join(least.hint("merge"), "src").filter("dst > src")
     return joined.select(F.col("m").alias("src"), "dst").filter("src < dst")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Edges src < dst: each dst links its smaller neighbours, and itself, to the least of them."""
     least = edges.groupBy("dst").agg(F.min("src").alias("m"))
-    moved = edges.join(least, "dst").filter("src <> m").select(F.col("m").alias("src"), F.col("src").alias("dst"))
+    moved = edges.join(least.hint("merge"), "dst").filter("src <> m").select(F.col("m").alias("src"), F.col("src").alias("dst"))
     own = least.select(F.col("m").alias("src"), "dst")
     return moved.unionByName(own).filter("src < dst").distinct()
 

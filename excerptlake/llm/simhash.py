@@ -12,7 +12,8 @@ If halves of x and y differ in at most one bit, x's home is within 1 + 1 of y, s
 that anchor, where the whole 64 bits are compared. Nothing is lost and nothing is capped.
 
 Equal fingerprints are one node, so a group of copies, however large, is one row here; only links
-between different fingerprints are made. Components come from alternating star contractions, each
+between different fingerprints are made. All joins are merge joins: their tables grow with the input,
+and a broadcast is built in the driver's memory. Components come from alternating star contractions, each
 round written to the shared folder.
 
 Defined cases: null text is the empty text; all texts without words share fingerprint zero and
@@ -116,7 +117,7 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     at_home = placed.filter("home").select("anchor", F.col("fp").alias("x"))
     reach = placed.select("anchor", F.col("fp").alias("y"))
     near = (F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= threshold)
-    met = at_home.join(reach, "anchor").filter(near)
+    met = at_home.hint("merge").join(reach, "anchor").filter(near)
     return met.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct()
 
 
@@ -128,12 +129,12 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESH
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), f"{folder}/nodes")
     edges = cut(links(nodes, threshold), f"{folder}/links")
     roots = connected_components(edges, f"{folder}/components")
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select(
+    placed = nodes.join(roots.hint("merge"), nodes.fp == roots.node, "left").select(
         "fp", "first_doc", F.coalesce("root", "fp").alias("root")
     )
     named = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    by_fp = placed.join(named, "root").select(F.col("fp").alias("node_fp"), "component_id")
-    return marked.join(by_fp, marked.fp == by_fp.node_fp).select("doc_id", "fp", "component_id")
+    by_fp = placed.join(named.hint("merge"), "root").select(F.col("fp").alias("node_fp"), "component_id")
+    return marked.join(by_fp.hint("merge"), marked.fp == by_fp.node_fp).select("doc_id", "fp", "component_id")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

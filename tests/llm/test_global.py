@@ -206,6 +206,14 @@ def test_components(spark, tmp_path):
     assert graph.connected_components(df.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_no_join_of_op6_is_broadcast(spark, docs, tmp_path):
+    """Nodes, links and minima grow with the input; a broadcast of them fills the driver."""
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
+    nodes = spark.createDataFrame([(1,), (2,)], "fp long")
+    for df in (simhash.near_groups(docs), simhash.links(nodes), graph._large_star(edges), graph._small_star(edges)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def brute_lines(pairs):
     seen, out = set(), {}
     for doc_id, text in pairs:
