@@ -49,14 +49,22 @@ def combined_score(visual: Column, audio: Column, cfg: MatchConfig = MatchConfig
     return F.when(audio.isNotNull(), cfg.visual_weight * visual + cfg.audio_weight * audio).otherwise(visual)
 
 
+def one_decimal(value: Column) -> Column:
+    """value, not negative, with one digit after the point, halves to even as C and Python print it;
+    Java's %.1f rounds them up. Of a whole number over a power of 1024 the tenths are exact."""
+    tenths = F.rint((value - F.floor(value)) * 10).cast("long")
+    whole = F.floor(value) + F.floor(tenths / 10)
+    return F.concat(whole.cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def fmt_size(size: Column) -> Column:
     """Bytes in the largest unit under 1024 of them; a dash for null."""
     value, out = size.cast("double"), F.when(size.isNull(), F.lit("—"))
     for unit, digits in (("B", 0), ("KB", 0), ("MB", 1), ("GB", 1)):
-        shown = F.rint(value).cast("long").cast("string") if not digits else F.format_string("%.1f", value)
+        shown = F.rint(value).cast("long").cast("string") if not digits else one_decimal(value)
         out = out.when(value < 1024, F.concat(shown, F.lit(f" {unit}")))
         value = value / 1024
-    return out.otherwise(F.concat(F.format_string("%.1f", value), F.lit(" TB")))
+    return out.otherwise(F.concat(one_decimal(value), F.lit(" TB")))
 
 
 def fmt_duration(seconds: Column) -> Column:

@@ -23,6 +23,21 @@ def decisions(spark, rows):
     return spark.createDataFrame(rows, TABLES["decisions"]) if rows else empty(spark, "decisions")
 
 
+def test_sizes_round_as_the_reference_does(spark):
+    """Halves to even, and 1.15 as the binary number it is; rounded up before."""
+    sizes = [m * 2**20 // 20 for m in range(20, 500)] + [4608**2 * 5, 1536**2, 2**30 - 1, 2**30 + 2**28, 2**40 + 2**38, 2**53 + 2**49, 10**18 + 7]
+
+    def shown(size):
+        for unit in ("B", "KB", "MB", "GB"):
+            if size < 1024:
+                return f"{size:.0f} {unit}" if unit in ("B", "KB") else f"{size:.1f} {unit}"
+            size /= 1024
+        return f"{size:.1f} TB"
+
+    df = spark.createDataFrame([(v,) for v in sizes], "v long").select("v", S.fmt_size(F.col("v")).alias("s"))
+    assert {r.v: r.s for r in df.collect()} == {v: shown(float(v)) for v in sizes}
+
+
 def test_library_listing(spark, tmp_path):
     for name in ("a/one.mp4", "b/two.MKV", "b/notes.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
