@@ -105,6 +105,41 @@ def test_audio_similarity(spark, a, b, expected):
     assert df.select(value).first()[0] == expected
 
 
+def test_packed_colors(spark):
+    """Packed colours are as far apart as the arrays they stand for, whatever their length."""
+    r = random.Random(3)
+    color = lambda n: [r.randrange(16) for _ in range(n)]
+    rows = [(color(n), color(m)) for n, m in [(64, 64)] * 20 + [(1, 1), (16, 16), (17, 17), (63, 63), (100, 100), (64, 63), (3, 20)]]
+    rows += [([0] * 64, [15] * 64), ([15] * 64, [0] * 64), ([7] * 64, [7] * 64), (None, color(64)), (color(64), None), (None, None)]
+    df = spark.createDataFrame(rows, "a array<int>, b array<int>")
+    a, b = F.col("a"), F.col("b")
+    got = df.select(S.packed_color_distance(S.packed_color(a), S.packed_color(b)).alias("p"), F.coalesce(S.color_distance(a, b), F.lit(0.0)).alias("q")).collect()
+    assert [x.p for x in got] == pytest.approx([x.q for x in got], abs=1e-12) and max(x.q for x in got) == 1.0
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_are_shuffled_once_and_nothing_is_broadcast(spark):
+    """Evidence goes by preview to its scores; colours and details of scenes are there when a pair is made."""
+    rows = scene_rows(spark, {1: [(1, H1), (2, H2)], 2: [(1, H1), (9, H3)]})
+    best = matching.best_scene_matches(video_rows(spark, {1: 10.0, 2: 100.0}), scenes.load_scenes(rows, FREE), empty(spark, "match_feedback"), FREE)
+    plan = planned(matching.pair_scores(matching.within_color(best, FREE)))
+    assert "Broadcast" not in plan and "hashpartitioning(candidate_id" not in plan
+    assert plan[: plan.index("SortMergeJoin")].count("Exchange") == 1
+
+
+def test_listed_pairs_are_not_shuffled(spark):
+    videos, feedback = video_rows(spark, {1: 10.0, 2: 100.0, 3: 100.0}), spark.createDataFrame([(1, 2, "not_a_match", 1.0)], TABLES["match_feedback"])
+    counts = spark.createDataFrame([(1, 3), (3, 5)], "video_id long, n_scenes long")
+    pairs, cost = matching.candidate_pairs(videos, feedback), matching.pair_cost(videos, feedback, counts)
+    assert [tuple(r) for r in cost.collect()] == [(1, 3, 15)]
+    for df in (pairs, cost):
+        plan = planned(df)
+        assert "Broadcast" not in plan and "Exchange" not in plan[: plan.index("SortMergeJoin")]
+
+
 def test_dismissed_pairs_stay_out(spark):
     videos = video_rows(spark, {1: 10.0, 2: 100.0, 3: 100.0})
     feedback = spark.createDataFrame([(1, 2, "not_a_match", 1.0)], TABLES["match_feedback"])
