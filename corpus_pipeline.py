@@ -40,8 +40,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, whose sets of 5-word shingles are similar to 0.8
-    or more: the one with the least doc_id, or one without where none has any."""
+    """One document of each group of near copies: the one with the least doc_id, or one without where
+    none has any. Near copies are found by op6's SimHash and compared exactly: their sets of 5-word
+    shingles are similar to 0.8 or more; similar pairs beyond SimHash's 3 bits are added to these."""
     return near.drop_copies(docs)
 
 

@@ -3,10 +3,14 @@
 Words are those of simhash.py, shingles have five, as 64-bit hashes; equal sets are one node. Groups
 are the connected components of all pairs of nodes with similarity 4/5 or more, compared exactly.
 
-Candidates come from prefixes: with all shingles in one global order, two sets of n and m shingles
+SimHash comes first, by the operator of op6: rows whose fingerprints (simhash.py) are equal or differ in
+at most 3 bits are candidates, of equal ones each with one of them; the exact comparison follows.
+Components of what is similar need no further comparison within.
+
+SimHash misses pairs, so what it left apart is completed from prefixes: with all shingles in one global order, two sets of n and m shingles
 with that similarity share one among the first n - ceil(4n/5) + 1 and m - ceil(4m/5) + 1. Any order
 is exact; this one has the hashes in ascending order, but those frequent in a sample of documents
-last, so that a common line joins nothing by itself. Fingerprints of 64 bits can't do this: at
+last, so that a common line joins nothing by itself. Fingerprints of 64 bits can't do this alone: at
 similarity 0.8 they differ in some 10 bits, at times in many more.
 
 Two sets must also share so many shingles of their prefixes as their sizes ask for; such pairs are
@@ -31,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import cut, map_arrow, text_or_empty, work_folder
 from .graph import connected_components
 
@@ -105,7 +110,7 @@ SKETCHES = [f"b{k}" for k in range(SKETCH)]
 
 
 def with_node(docs: DataFrame) -> DataFrame:
-    """doc_id, th, node and sketch of each row."""
+    """doc_id, th, node, sketch and SimHash fingerprint of each row."""
 
     def make():
         def step(batch):
@@ -113,11 +118,25 @@ def with_node(docs: DataFrame) -> DataFrame:
             bits = np.array([sketch(s) for s in sets], np.int64).reshape(-1, SKETCH)
             columns = [batch.column(0), batch.column(2), pa.array([node_of(s) for s in sets], pa.int64())]
             columns += [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH)]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "node", *SKETCHES])
+            prints = [simhash.fingerprint(x.as_buffer().to_pybytes()) for x in batch.column(1).cast(pa.binary())]
+            columns.append(pa.array(np.array(prints, np.uint64).view(np.int64)))
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "node", *SKETCHES, "fp"])
 
         return step
 
-    return map_arrow(_texts(docs), make, "doc_id long, th long, node long, " + ", ".join(f"{b} long" for b in SKETCHES))
+    return map_arrow(_texts(docs), make, "doc_id long, th long, node long, " + ", ".join(f"{b} long" for b in SKETCHES) + ", fp long")
+
+
+def simhash_pairs(marked: DataFrame, folder: str) -> DataFrame:
+    """Pairs src < dst of nodes that SimHash finds: of each fingerprint its nodes with the least of them,
+    and the least ones of any two fingerprints that simhash.links links."""
+    prints = cut(marked.select("fp", "node").distinct(), f"{folder}/prints")
+    least = cut(prints.groupBy("fp").agg(F.min("node").alias("least")), f"{folder}/least")
+    linked = cut(simhash.links(least), f"{folder}/linked")
+    same = prints.join(least.hint("merge"), "fp").select(F.col("least").alias("x"), F.col("node").alias("y"))
+    named = lambda end, k: least.select(F.col("fp").alias(end), F.col("least").alias(k)).hint("merge")
+    close = linked.join(named("src", "x"), "src").join(named("dst", "y"), "dst").select("x", "y")
+    return same.union(close).filter("x <> y").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct()
 
 
 def frequent(docs: DataFrame) -> np.ndarray:
@@ -271,15 +290,14 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hits = shared_places(places, folder)
 
     hits = cut(hits.join(nodes.select("node", *SKETCHES).hint("merge"), "node"), f"{folder}/known")
-    links = tried = None
-    placed = hits.withColumn("root", F.col("node"))
-    for k in range(ROUNDS):
-        found, pairs = verified(docs, nodes, met_hub(placed, k).select("src", "dst").distinct(), f"{folder}/hubs{k}")
-        links = found if links is None else links.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
+    links, tried = verified(docs, nodes, simhash_pairs(marked, f"{folder}/simhash"), f"{folder}/simhash")
+    for k in range(ROUNDS + 1):
         roots = cut(connected_components(links, f"{folder}/components{k}"), f"{folder}/roots{k}")
         placed = hits.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        placed = cut(placed, f"{folder}/placed{k}")
+        placed = cut(placed, f"{folder}/placed{k}") if k == ROUNDS else placed
+        if k < ROUNDS:
+            found, pairs = verified(docs, nodes, met_hub(placed, k).select("src", "dst").distinct(), f"{folder}/hubs{k}")
+            links, tried = links.union(found), tried.union(pairs)
     rest = possible(met_apart(placed)).join(tried.hint("merge"), ["src", "dst"], "left_anti")
     links = links.union(verified(docs, nodes, rest, f"{folder}/rest")[0])
 

@@ -185,6 +185,23 @@ def test_near_copies(spark, make_docs, tmp_path):
     assert near.near_groups(make_docs([])).count() == 0
 
 
+def test_pipeline_finds_near_copies_by_simhash(spark, make_docs, tmp_path, monkeypatch):
+    """Without candidates from prefixes, what SimHash links and the exact comparison confirms is one group."""
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randrange(400)}" for _ in range(150)) for _ in range(12)] + ["", "a b"]
+    texts += [f"{t} tail" for t in texts[:8]] + [t.upper() + "  " for t in texts[4:]] + ["head " + t for t in texts[2:6]]
+    pairs = list(enumerate(texts))
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in pairs for w in [t.lower().split()]}
+    near_by = lambda a, b: (brute_simhash(texts[a]) ^ brute_simhash(texts[b])).bit_count() <= 3
+    alike = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+    linked = [(a, b) for a, _ in pairs for b, _ in pairs if a < b and alike(shingles[a], shingles[b]) and near_by(a, b)]
+    assert any(brute_simhash(texts[a]) != brute_simhash(texts[b]) for a, b in linked)
+    made = near.prefixes
+    monkeypatch.setattr(near, "prefixes", lambda docs, last: made(docs, last).filter("false"))
+    kept = {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, on_disk(make_docs(pairs), tmp_path), str(tmp_path)).collect()}
+    assert kept == {i for i, c in classes(shingles, linked).items() if i == c}
+
+
 def test_covering_misses_no_link(spark):
     r = random.Random(4)
     values = {0}
