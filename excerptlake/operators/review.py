@@ -105,12 +105,14 @@ def match_summary(evidence: Column) -> list[Column]:
     """Columns that sum up a pair's evidence, and whether it is weak."""
     ts = lambda k: F.transform(evidence, lambda m: m[k])
     span = lambda k: F.coalesce(F.array_max(ts(k)) - F.array_min(ts(k)), F.lit(0.0))
-    n = F.size(evidence)
-    weak = (n == 1) | ((n > 1) & (span("candidate_ts") < 2.0))
-    return [
-        n.cast("long").alias("n_matched"), fmt_time(span("preview_ts")).alias("preview_span"),
-        fmt_time(span("candidate_ts")).alias("candidate_span"), weak.alias("weak"),
-    ]
+    return measures_summary(F.size(evidence), span("preview_ts"), span("candidate_ts"))
+
+
+def measures_summary(n: Column | str, preview_span: Column | str, candidate_span: Column | str) -> list[Column]:
+    """match_summary of a pair whose number of matches and spans are known."""
+    n, p, c = (F.col(x) if isinstance(x, str) else x for x in (n, preview_span, candidate_span))
+    weak = (n == 1) | ((n > 1) & (c < 2.0))
+    return [n.cast("long").alias("n_matched"), fmt_time(p).alias("preview_span"), fmt_time(c).alias("candidate_span"), weak.alias("weak")]
 
 
 def seek_points(evidence: Column, key: str) -> Column:
